@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Transformer
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
@@ -101,6 +101,11 @@ def modal_widths(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return found
 
 
+def sized(df: DataFrame, col: str, size: int) -> DataFrame:
+    """Declare the length of a vector column; the values are not checked."""
+    return VectorSizeHint(inputCol=col, size=size, handleInvalid="optimistic").transform(df)
+
+
 class FingerprintEncoder(
     Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -144,6 +149,9 @@ class FingerprintEncoder(
             zip(blocks, cols, widths),
             df,
         )
+        # a declared size spares the assembler a look at the first row, which a stream cannot give
+        for block, width in zip(blocks, widths):
+            staged = sized(staged, block, width)
         # the assembler stores the concatenation in its smaller (sparse) form
         assembler = VectorAssembler(inputCols=blocks, outputCol=self.getOutputCol())
-        return assembler.transform(staged).drop(*blocks)
+        return sized(assembler.transform(staged).drop(*blocks), self.getOutputCol(), sum(widths))

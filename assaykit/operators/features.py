@@ -26,6 +26,8 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.functions.fingerprint import sized
+
 # Up to this width the Gram matrix (width^2 doubles) is summed in one pass over the rows;
 # wider input goes to the iterative solver, which never forms it.
 MAX_GRAM_WIDTH = 4096
@@ -75,7 +77,8 @@ class NumericScalerModel(Model, HasInputCols, HasOutputCol, DefaultParamsReadabl
         missing = [c for c in self.getInputCols() if c not in df.columns]
         if missing:
             raise ValueError(f"numeric column(s) missing: {missing}")
-        return df.withColumn(self.getOutputCol(), array_to_vector(F.array(*self.columns())))
+        scaled = df.withColumn(self.getOutputCol(), array_to_vector(F.array(*self.columns())))
+        return sized(scaled, self.getOutputCol(), len(self.getInputCols()))
 
 
 def scale_columns(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
@@ -162,7 +165,8 @@ class TruncatedSVDModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable
         # indices and values as stored, so a sparse vector is never made dense
         parts = F.unwrap_udt(F.col(self.getInputCol()))
         projected = project(parts["indices"], parts["values"])
-        return df.withColumn(self.getOutputCol(), array_to_vector(projected))
+        reduced = df.withColumn(self.getOutputCol(), array_to_vector(projected))
+        return sized(reduced, self.getOutputCol(), self.components.shape[1])
 
     def write(self) -> MLWriter:
         return _SVDWriter(self)

@@ -240,7 +240,7 @@ def search(
     n_folds = df.agg(F.max(fold)).first()[0] + 1
     labelled = df.withColumn(LABEL, F.col(label).cast("double"))
     validator = CrossValidator(
-        estimator=whole,
+        estimator=whole.setStages(maps[0][whole.stages]),
         estimatorParamMaps=maps,
         evaluator=MulticlassClassificationEvaluator(
             labelCol=LABEL, predictionCol="prediction", metricName="f1"

@@ -107,13 +107,13 @@ def exact_quantiles(
     """
     groups = groups or []
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = clean.groupBy(*groups, value).agg(F.count("*").alias("n"))
-    placed = running_totals(counts, groups, [value], ["n"])
+    counts = clean.groupBy(*groups, value).agg(F.count("*").alias("__cnt"))
+    placed = running_totals(counts, groups, [value], ["__cnt"])
     aggs, outs = [], []
     for name, p in probs.items():
-        spot = F.lit(float(p)) * (F.col("total_n") - 1)
+        spot = F.lit(float(p)) * (F.col("total___cnt") - 1)
         for side, index in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            holds = (index >= F.col("cum_n") - F.col("n")) & (index < F.col("cum_n"))
+            holds = (index >= F.col("cum___cnt") - F.col("__cnt")) & (index < F.col("cum___cnt"))
             aggs.append(F.max(F.when(holds, F.col(value).cast("double"))).alias(f"__{side}_{name}"))
         aggs.append(F.max(spot - F.floor(spot)).alias(f"__frac_{name}"))
         lo, hi, frac = (F.col(f"__{s}_{name}") for s in ("lo", "hi", "frac"))

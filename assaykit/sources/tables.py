@@ -31,7 +31,8 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     clash = [old for old, new in CANONICAL_NAMES.items() if old in df.columns and new in df.columns]
     if clash:
         raise ValueError(f"both spellings present for {clash}")
-    return df.withColumnsRenamed(CANONICAL_NAMES)
+    # renaming matches names in any case, so pass only exact spellings
+    return df.withColumnsRenamed({old: new for old, new in CANONICAL_NAMES.items() if old in df.columns})
 
 
 def feature_columns(columns: list[str], fingerprint_name: str = "FP") -> list[str]:

@@ -18,9 +18,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _fp_text(counts: str, last: Column) -> Column:
-    element = lambda i: F.coalesce(F.try_element_at(counts, i.cast("long")), F.lit(0)).cast("string")
-    return F.array_join(F.transform(F.sequence(F.lit(0), last), element), ",")
+def _fp_text(entries: Column, width: Column) -> Column:
+    """Counts as text from (position, count) entries: runs of zeros between the entries."""
+    held = F.filter(F.array_sort(entries), lambda e: e["p"] < width)
+    before = lambda i: F.coalesce(F.get(held, i - 1)["p"], F.lit(-1).cast("long"))
+    piece = lambda e, i: F.concat(
+        F.repeat(F.lit("0,"), (e["p"] - before(i) - 1).cast("int")), e["v"].cast("string")
+    )
+    last = F.coalesce(F.get(held, F.size(held) - 1)["p"], F.lit(-1).cast("long"))
+    zeros = F.repeat(F.lit(",0"), (width - 1 - last).cast("int"))
+    body = F.array_join(F.transform(held, piece), ",")
+    return F.when(body == "", F.substring(zeros, 2, 10_000)).otherwise(F.concat(body, zeros))
 
 
 def compounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,24 +43,27 @@ def compounds(spark: SparkSession, sf: str) -> DataFrame:
     )
     # counted per position first, so an order contributes at most one entry per position
     counts = lines.groupBy("k", "e.kind", "e.p").agg(F.count("*").alias("v"))
-    entry = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("p", "v"))))
-    maps = counts.groupBy("k").agg(entry("part").alias("part"), entry("supp").alias("supp"))
-    key = F.col("o_orderkey")
+    entry = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("p", "v")))
+    # building the text is work per row, not per byte: keep the full number of tasks
+    spread = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    entries = spread.groupBy("k").agg(entry("part").alias("part"), entry("supp").alias("supp"))
     # every 101st fingerprint is one element short, the wrong-length case
-    last_supp = F.when(key % 101 == 0, SUPP_WIDTH - 2).otherwise(SUPP_WIDTH - 1)
-    present = F.col("k").isNotNull()
-    return (
-        table(spark, sf, "orders")
-        .join(maps, key == F.col("k"), "left")
-        .select(
-            key.alias("compound_id"),
-            F.col("o_custkey").alias("group_id"),
-            _label().alias("label"),
-            F.when(present, _fp_text("part", F.lit(PART_WIDTH - 1))).alias("fp_part"),
-            F.when(present, _fp_text("supp", last_supp)).alias("fp_supp"),
-            F.col("o_totalprice").alias("mw"),
-            ((key % 1000).cast("double") / 100 - 5).alias("alogp"),
-        )
+    supp_width = F.when(F.col("k") % 101 == 0, SUPP_WIDTH - 1).otherwise(SUPP_WIDTH)
+    texts = entries.select(
+        F.col("k").alias("compound_id"),
+        _fp_text(F.col("part"), F.lit(PART_WIDTH)).alias("fp_part"),
+        _fp_text(F.col("supp"), supp_width).alias("fp_supp"),
+    )
+    key = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select(
+        key.alias("compound_id"),
+        F.col("o_custkey").alias("group_id"),
+        _label().alias("label"),
+        F.col("o_totalprice").alias("mw"),
+        ((key % 1000).cast("double") / 100 - 5).alias("alogp"),
+    )
+    return orders.join(texts, "compound_id", "left").select(
+        "compound_id", "group_id", "label", "fp_part", "fp_supp", "mw", "alogp"
     )
 
 

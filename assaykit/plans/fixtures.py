@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.session import materialize
+
 PART_WIDTH, SUPP_WIDTH = 64, 32
 EXPERTS = ["a", "b", "c"]
 
@@ -62,11 +64,17 @@ def compounds(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_totalprice").alias("mw"),
         ((key % 1000).cast("double") / 100 - 5).alias("alogp"),
     )
-    return orders.join(texts, "compound_id", "left").select(
+    # a merge join keeps the tasks of the text side; the size estimate would broadcast it
+    return orders.join(texts.hint("merge"), "compound_id", "left").select(
         "compound_id", "group_id", "label", "fp_part", "fp_supp", "mw", "alogp"
     )
 
 
+def compounds_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The compound table as a Parquet file, for work that reads it more than once."""
+    return materialize(compounds(spark, sf), "compounds")
+
+
 def _label() -> Column:
     return (F.col("o_orderpriority") == "1-URGENT").cast("int")
 
@@ -106,7 +114,7 @@ def adv_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(train, new): every fifth compound plays the unlabelled new data, with another spelling."""
-    all_rows = compounds(spark, sf).withColumnsRenamed({"alogp": "ALOGP", "mw": "MW"})
+    all_rows = compounds_file(spark, sf).withColumnsRenamed({"alogp": "ALOGP", "mw": "MW"})
     is_new = F.col("compound_id") % 5 == 0
     new = all_rows.where(is_new).drop("label").withColumnRenamed("ALOGP", "AlogP")
     return all_rows.where(~is_new), new

@@ -21,6 +21,6 @@ def ranked_holdout(spark: SparkSession, sf: str) -> DataFrame:
         id_col="compound_id",
         optimize_threshold=True,
     )
-    result = run_experiment(fx.compounds(spark, sf), cfg)
+    result = run_experiment(fx.compounds_file(spark, sf), cfg)
     ranked = global_rank(result.predictions, [F.desc("prob"), F.col("compound_id")], "rank")
     return ranked.withColumn("threshold", F.lit(result.threshold))

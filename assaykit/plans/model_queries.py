@@ -31,7 +31,7 @@ def _config(**changes) -> ex.ExperimentConfig:
 
 
 def _predictions(spark, sf, **changes):
-    return ex.run_experiment(fx.compounds(spark, sf), _config(**changes)).predictions
+    return ex.run_experiment(fx.compounds_file(spark, sf), _config(**changes)).predictions
 
 
 @query("svd_variance")
@@ -43,7 +43,7 @@ def svd_variance(spark, sf):
 
 @query("svd_sweep")
 def svd_sweep(spark, sf):
-    df = fx.compounds(spark, sf)
+    df = fx.compounds_file(spark, sf)
     widths = modal_widths(df, ["fp_part", "fp_supp"])
     encoder = ex.feature_stages(_config(numerics=[]), widths)[0]
     encoded = encoder.transform(df).select("__fp").persist()
@@ -78,14 +78,14 @@ def end_to_end_scores(spark, sf):
 def grid_search(spark, sf):
     tuning = {"kind": "grid", "space": {"n_components": [8, 16], "C": [0.1, 1.0]}, "folds": 3}
     cfg = _config(fp_mode="count", svd_components=8, tuning=tuning)
-    return ex.run_experiment(fx.compounds(spark, sf), cfg).trials
+    return ex.run_experiment(fx.compounds_file(spark, sf), cfg).trials
 
 
 @query("sampled_search")
 def sampled_search(spark, sf):
     space = {"C": ["float", 0.01, 10.0, "log"], "penalty": ["categorical", ["l1", "l2"]], "max_iter": ["int", 20, 60]}
     cfg = _config(tuning={"kind": "sampled", "space": space, "n_trials": 3, "folds": 5})
-    return ex.run_experiment(fx.compounds(spark, sf), cfg).trials
+    return ex.run_experiment(fx.compounds_file(spark, sf), cfg).trials
 
 
 def _metric_row(result: ex.ExperimentResult):
@@ -103,20 +103,20 @@ def _metric_row(result: ex.ExperimentResult):
 @query("experiment_metrics")
 def experiment_metrics(spark, sf):
     cfg = _config(optimize_threshold=True, export_dir=scratch_path(spark, "runs"))
-    return _metric_row(ex.run_experiment(fx.compounds(spark, sf), cfg))
+    return _metric_row(ex.run_experiment(fx.compounds_file(spark, sf), cfg))
 
 
 @query("experiment_adversarial")
 def experiment_adversarial(spark, sf):
     scores = fx.adv_scores(spark, sf).select("compound_id", "adversarial_score")
     cfg = _config(split="adversarial", test_size=0.15)
-    return _metric_row(ex.run_experiment(fx.compounds(spark, sf).join(scores, "compound_id"), cfg))
+    return _metric_row(ex.run_experiment(fx.compounds_file(spark, sf).join(scores, "compound_id"), cfg))
 
 
 @query("sweep_run")
 def sweep_run(spark, sf):
     cfg = _config(export_dir=scratch_path(spark, "sweep"))
-    named = fx.compounds(spark, sf).withColumnsRenamed({"fp_part": "ECFP6", "fp_supp": "MACCS"})
+    named = fx.compounds_file(spark, sf).withColumnsRenamed({"fp_part": "ECFP6", "fp_supp": "MACCS"})
     return ex.run_sweep(named, cfg, [["ECFP6"], ["MACCS"], ["ECFP6", "MACCS"]])
 
 
@@ -124,7 +124,7 @@ def sweep_run(spark, sf):
 def adversarial_scores(spark, sf):
     train, new = fx.sources(spark, sf)
     scored = adversarial.adversarial_scores(
-        materialize(train, "train"), materialize(new, "new"), "compound_id", ["fp_part", "fp_supp"], ["MW", "ALOGP"], TREES
+        train, new, "compound_id", ["fp_part", "fp_supp"], ["MW", "ALOGP"], TREES
     )
     return scored.select("compound_id", "label", "adversarial_score")
 
@@ -142,7 +142,7 @@ def _experts(table) -> dict[str, PipelineModel]:
 
 
 def _split_and_experts(spark, sf):
-    table = materialize(splits.group_holdout(fx.compounds(spark, sf), "group_id", "label", 0.2), "split")
+    table = materialize(splits.group_holdout(fx.compounds_file(spark, sf), "group_id", "label", 0.2), "split")
     train, held = table.where("NOT is_test"), table.where("is_test")
     return _experts(train), train, held
 
@@ -151,7 +151,7 @@ def _split_and_experts(spark, sf):
 def batch_scores(spark, sf):
     """Score with a model that was saved and loaded again."""
     _, new = fx.sources(spark, sf)
-    table = fx.compounds(spark, sf).withColumnsRenamed({"mw": "MW", "alogp": "ALOGP"})
+    table = fx.compounds_file(spark, sf).withColumnsRenamed({"mw": "MW", "alogp": "ALOGP"})
     cfg = _config(numerics=["MW", "ALOGP"], export_dir=scratch_path(spark, "runs"))
     model, _ = ex.load_run(spark, ex.run_experiment(table, cfg).run_dir)
     return scoring.batch_scores(model, new, ids=("RandomID", "compound_id"))
@@ -190,7 +190,7 @@ def _landed(spark, sf):
 @query("stream_scores")
 def stream_scores(spark, sf):
     cfg = _config()
-    model = ex.run_experiment(fx.compounds(spark, sf), cfg).model
+    model = ex.run_experiment(fx.compounds_file(spark, sf), cfg).model
     source, schema = _landed(spark, sf)
     sink = scratch_path(spark, "scored")
     job = jobs.score_files(spark, model, source, schema, sink, scratch_path(spark, "state"), ("compound_id",), 2)

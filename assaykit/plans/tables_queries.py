@@ -197,7 +197,7 @@ def fp_pad_truncate(spark, sf):
       array_to_string(list_filter(range(96), lambda i: list_concat(p, s)[i + 1] = '1'), ',') AS positions FROM v""",
 )
 def fp_concat(spark, sf):
-    df = fx.compounds(spark, sf)
+    df = fx.compounds_file(spark, sf)
     widths = fp.modal_widths(df, ["fp_part", "fp_supp"])
     encoder = fp.FingerprintEncoder(inputCols=list(widths), widths=list(widths.values()), outputCol="features")
     parts = F.unwrap_udt(F.col("features"))
@@ -235,7 +235,7 @@ def _described(df):
     SELECT "column", {_DESCRIBE} FROM l GROUP BY 1""",
 )
 def fp_lengths(spark, sf):
-    return _described(profile.fp_lengths(fx.compounds(spark, sf), ["fp_part", "fp_supp"]))
+    return _described(profile.fp_lengths(fx.compounds_file(spark, sf), ["fp_part", "fp_supp"]))
 
 
 @query(
@@ -305,7 +305,7 @@ def label_balance(spark, sf):
     FROM cols CROSS JOIN n CROSS JOIN y LEFT JOIN d ON d."column" = cols."column" """,
 )
 def column_report(spark, sf):
-    report = profile.column_report(fx.compounds(spark, sf), ["fp_part", "fp_supp"], "label")
+    report = profile.column_report(fx.compounds_file(spark, sf), ["fp_part", "fp_supp"], "label")
     return _described(rounded(report, "null_pct"))
 
 

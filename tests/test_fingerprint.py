@@ -98,3 +98,13 @@ def test_compound_id_parts(spark):
 def test_run_name(spark):
     df = spark.createDataFrame([("featsel__TOPTOR_ECFP6_20250701-101010",)], "r string")
     assert df.select(features_from_run_name(F.col("r"))).first()[0] == "TOPTOR, ECFP6"
+
+
+def test_encoder_agrees_with_the_column_expression(rows, spark):
+    for mode in fp.MODES:
+        stage = fp.FingerprintEncoder(inputCols=["fp"], widths=[4], mode=mode, outputCol="v")
+        vectors = {k: [int(x) for x in v.toArray()] for k, v in by_id(stage.transform(rows)).items()}
+        assert vectors == by_id(rows.select("id", fp.encode("fp", 4, mode).alias("v")))
+    bad = spark.createDataFrame([(0, "1,x,0,1")], "id long, fp string")
+    with pytest.raises(PySparkException, match="malformed"):
+        stage.transform(bad).collect()

@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _fp_text(entries: Column, width: Column) -> Column:
-    """Counts as text from (position, count) entries: runs of zeros between the entries."""
-    held = F.filter(F.array_sort(entries), lambda e: e["p"] < width)
+def _fp_text(entries: str, width: Column) -> Column:
+    """Counts as text from sorted (position, count) entries: runs of zeros between the entries."""
+    held = F.col(entries)
     before = lambda i: F.coalesce(F.get(held, i - 1)["p"], F.lit(-1).cast("long"))
     piece = lambda e, i: F.concat(
         F.repeat(F.lit("0,"), (e["p"] - before(i) - 1).cast("int")), e["v"].cast("string")
@@ -34,27 +34,29 @@ def _fp_text(entries: Column, width: Column) -> Column:
 
 
 def compounds(spark: SparkSession, sf: str) -> DataFrame:
+    # one number for both kinds: supplier positions follow the part positions
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("part").alias("kind"), (F.col("l_partkey") % PART_WIDTH).alias("p")),
-                F.struct(F.lit("supp").alias("kind"), (F.col("l_suppkey") % SUPP_WIDTH).alias("p")),
-            )
-        ).alias("e"),
+        F.explode(F.array(F.col("l_partkey") % PART_WIDTH, F.col("l_suppkey") % SUPP_WIDTH + PART_WIDTH)).alias("p"),
     )
     # counted per position first, so an order contributes at most one entry per position
-    counts = lines.groupBy("k", "e.kind", "e.p").agg(F.count("*").alias("v"))
-    entry = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("p", "v")))
+    counts = lines.groupBy("k", "p").agg(F.count("*").alias("v"))
     # building the text is work per row, not per byte: keep the full number of tasks
     spread = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
-    entries = spread.groupBy("k").agg(entry("part").alias("part"), entry("supp").alias("supp"))
+    entries = spread.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("e"))
     # every 101st fingerprint is one element short, the wrong-length case
     supp_width = F.when(F.col("k") % 101 == 0, SUPP_WIDTH - 1).otherwise(SUPP_WIDTH)
-    texts = entries.select(
+    in_supp = F.transform(
+        F.filter("e", lambda e: e["p"].between(PART_WIDTH, PART_WIDTH + supp_width - 1)),
+        lambda e: F.struct((e["p"] - PART_WIDTH).alias("p"), e["v"].alias("v")),
+    )
+    parted = entries.select(
+        "k", F.filter("e", lambda e: e["p"] < PART_WIDTH).alias("part"), in_supp.alias("supp"), supp_width.alias("w")
+    )
+    texts = parted.select(
         F.col("k").alias("compound_id"),
-        _fp_text(F.col("part"), F.lit(PART_WIDTH)).alias("fp_part"),
-        _fp_text(F.col("supp"), supp_width).alias("fp_supp"),
+        _fp_text("part", F.lit(PART_WIDTH)).alias("fp_part"),
+        _fp_text("supp", F.col("w")).alias("fp_supp"),
     )
     key = F.col("o_orderkey")
     orders = table(spark, sf, "orders").select(

@@ -110,19 +110,23 @@ def _tune(train: DataFrame, cfg: ExperimentConfig, stages: list) -> tuple[dict,
     """Best parameters and the trial table.
 
     A grid refits the feature stages in every fold; sampled trials share features fitted once.
+    Parsing learns nothing from the rows, so the text is parsed once for either.
     """
     kind = cfg.tuning["kind"]
     folds = cv_folds(train, cfg, cfg.tuning.get("folds", 3 if kind == "grid" else 5))
     if kind == "grid":
         trials = models.parameter_grid(cfg.tuning["space"])
+        for parser in [s for s in stages if isinstance(s, FingerprintEncoder)]:
+            folds = parser.transform(folds)
+        stages = [s for s in stages if not isinstance(s, FingerprintEncoder)]
+        inputs = [*(["__fp"] if cfg.fingerprints else []), *cfg.numerics]
     elif kind == "sampled":
         trials = models.sampled_parameters(cfg.tuning["space"], cfg.tuning.get("n_trials", 50), cfg.seed)
         folds = Pipeline(stages=stages).fit(folds).transform(folds)
-        stages = []
+        stages, inputs = [], [models.FEATURES]
     else:
         raise ValueError(f"unknown tuning kind {kind!r}")
-    table = folds.select("fold", cfg.label, *([models.FEATURES] if not stages else [*cfg.fingerprints, *cfg.numerics]))
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table = folds.select("fold", cfg.label, *inputs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted, report = models.search(
             table, stages, cfg.model_name, cfg.label, trials, "fold", cfg.parallelism, cfg.on_unsupported

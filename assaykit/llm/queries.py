@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from assaykit.llm.bpe import round_trip_digests
 from assaykit.llm.common import table
+from assaykit.llm.exact_dedup import exact_dedup
+from assaykit.llm.mixing import MIX_SQL, mix_sources
 from assaykit.llm.substring_dedup import substring_dedup
 
-QUERIES, ORACLES = {}, {}
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_exact_dedup(spark, sf_dir):
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark, sf_dir):
+    return round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op10_substring_dedup"] = op10_substring_dedup
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_mix_sources, op8_bpe, op10_substring_dedup)}
+
+ORACLES = {
+    "op4_exact_dedup": """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)""",
+    "op7_mix_sources": MIX_SQL,
+}

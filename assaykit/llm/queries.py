@@ -8,6 +8,7 @@ from assaykit.llm.bpe import round_trip_digests
 from assaykit.llm.common import table
 from assaykit.llm.exact_dedup import exact_dedup
 from assaykit.llm.mixing import MIX_SQL, mix_sources
+from assaykit.llm.near_dedup import near_groups
 from assaykit.llm.substring_dedup import substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,11 +26,15 @@ def op8_bpe(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_mix_sources, op8_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
 
 ORACLES = {
     "op4_exact_dedup": """

@@ -7,13 +7,24 @@ import public_tokenizers
 from assaykit.llm.bpe import round_trip_digests
 from assaykit.llm.common import table
 from assaykit.llm.exact_dedup import exact_dedup
+from assaykit.llm.html_extract import extract_text
 from assaykit.llm.mixing import MIX_SQL, mix_sources
 from assaykit.llm.near_dedup import near_groups
 from assaykit.llm.substring_dedup import substring_dedup
+from assaykit.llm.url_filter import judge_urls, seed_labels, train
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, train(seed_labels(pages)))
+
+
+def op3_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,7 +45,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_html_extraction, op4_exact_dedup, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
 
 ORACLES = {
     "op4_exact_dedup": """

@@ -7,6 +7,7 @@ import public_tokenizers
 from assaykit.llm.bpe import round_trip_digests
 from assaykit.llm.common import table
 from assaykit.llm.exact_dedup import exact_dedup
+from assaykit.llm.hnsw import nearest, stated_queries
 from assaykit.llm.html_extract import extract_text
 from assaykit.llm.line_dedup import dedup_lines
 from assaykit.llm.mixing import MIX_SQL, mix_sources
@@ -34,6 +35,11 @@ def op5_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_hnsw_search(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    return nearest(embeddings, stated_queries(embeddings))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
 
 ORACLES = {
     "op4_exact_dedup": """

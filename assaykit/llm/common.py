@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+# Vocabulary of the encoding queries; the operators take a path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -238,3 +238,11 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document stays, with its columns; rows sharing an id stay or go together."""
+    gone = near_groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id = F.col(f"c{docs.columns.index('doc_id')}")
+    return plain.join(materialize(gone, "gone"), doc_id == F.col("gone_id"), "left_anti").toDF(*docs.columns)

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
 from assaykit.llm.bpe import round_trip_digests
-from assaykit.llm.common import table
+from assaykit.llm.common import TOKENIZER, table
 from assaykit.llm.exact_dedup import exact_dedup
 from assaykit.llm.hnsw import nearest, stated_queries
 from assaykit.llm.html_extract import extract_text
 from assaykit.llm.line_dedup import dedup_lines
 from assaykit.llm.mixing import MIX_SQL, mix_sources
 from assaykit.llm.near_dedup import near_groups
+from assaykit.llm.quality import quality_scores
 from assaykit.llm.substring_dedup import substring_dedup
 from assaykit.llm.url_filter import judge_urls, seed_labels, train
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def op1_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, train(seed_labels(pages)))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -56,7 +57,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
 
 ORACLES = {
     "op4_exact_dedup": """

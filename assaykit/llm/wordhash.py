@@ -57,6 +57,7 @@ class Words:
     """The words of some consecutive texts: byte spans, hashes, and where each text begins."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+        self.data, self.offsets = data, offsets
         sep = _SEPARATOR[data]
         before = np.concatenate(([True], sep[:-1])) if len(sep) else sep.copy()
         after = np.concatenate((sep[1:], [True])) if len(sep) else sep.copy()

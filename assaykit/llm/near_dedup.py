@@ -14,6 +14,7 @@ components in a band are tested further.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from assaykit.llm.common import pick, tasks_for
 from assaykit.llm.wordhash import Words, lists, mix, signed, slices
 from assaykit.operators.components import connected_components
-from assaykit.session import materialize
+from assaykit.session import broadcast_if_small, materialize
 
 BANDS = 40
 MISSED = 1e-6  # most that a pair on the threshold may fail to share every band
-PIVOT_ROUNDS = 4
+SIGNATURE = 128  # coordinates of which one bit each is carried with the bands
+PIVOT_ROUNDS = 3
 STAR_BLOCK = 128  # documents compared with one copy of a pivot's text
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -37,6 +39,16 @@ def rows_per_band(percent: int) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISSED)
 
 
+def most_different_bits(percent: int) -> int:
+    """Bits in which the signatures of a pair on the threshold differ, more only with less than ``MISSED``."""
+    p = (1 - percent / 100) / 2  # an unequal coordinate differs in its bit half of the time
+    tail, bits = 1.0, -1
+    while tail > MISSED:
+        bits += 1
+        tail -= comb(SIGNATURE, bits) * p**bits * (1 - p) ** (SIGNATURE - bits)
+    return bits
+
+
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; the whole sequence if it is shorter than k."""
     hashes, whole = w.runs(k), w.whole()
@@ -77,7 +89,10 @@ def _profile(k: int, r: int):
         for batch in batches:
             for a, b, w in slices(batch.column("text"), lower=True):
                 sets = shingle_sets(w, k)
-                coordinates = sketch(sets, BANDS * r).reshape(b - a, BANDS, r)
+                flat = sketch(sets, BANDS * r)
+                coordinates = flat.reshape(b - a, BANDS, r)
+                bits = mix(flat[:, :SIGNATURE]) & np.uint64(1)
+                signs = (bits.reshape(b - a, 2, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, 1))
                 for i in range(r):
                     bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + coordinates[:, :, i])
@@ -89,9 +104,11 @@ def _profile(k: int, r: int):
                         pa.array(n),
                         pa.array(signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))),
                         pa.array(signed(np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64))),
+                        pa.array(signed(signs[:, 0].copy())),
+                        pa.array(signed(signs[:, 1].copy())),
                         lists(signed(bands[some].ravel()), np.where(some, BANDS, 0)),
                     ],
-                    ["doc_id", "n", "set1", "set2", "bands"],
+                    ["doc_id", "n", "set1", "set2", "s0", "s1", "bands"],
                 )
 
     return run
@@ -130,67 +147,71 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
     The candidates of a pivot are spread over blocks, and each block gets the pivot's text once.
     """
-    blocks = pairs.groupBy("pivot").agg(F.expr(f"count(*) div {STAR_BLOCK} + 1").alias("n_blocks"))
-    dealt = pairs.join(blocks, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), "n_blocks").alias("block"))
-    dealt = materialize(dealt, "pairs")
+    n_blocks = F.expr(f"count(*) over (partition by pivot) div {STAR_BLOCK} + 1")
+    dealt = pairs.select("pivot", "id", F.pmod(F.xxhash64("id"), n_blocks).alias("block"))
     heads = dealt.select("pivot", "block").distinct().withColumn("id", F.col("pivot"))
     rows = dealt.unionByName(heads).join(texts, "id").withColumn("later", F.col("id") != F.col("pivot"))
     placed = rows.repartition(tasks_for(texts), "pivot", "block").sortWithinPartitions("pivot", "block", "later")
     return placed.select("pivot", "id", "text").mapInArrow(_confirm(k, percent), "u bigint, v bigint")
 
 
-def _different(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Members with their component, of the bands that still hold more than one; ``main`` is the largest."""
-    if components is None:
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest document that a node is linked to, and that one's in turn.
+
+    Documents of one label are in one component; the reverse need not hold, which only costs tests.
+    """
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "near")
+    nearer = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return materialize(near.join(nearer, "label").select("node", F.col("next").alias("label")), "labels")
+
+
+def _different(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the bands that hold more than one label; ``main`` is the label most have."""
+    if labels is None:
         current = members.withColumn("comp", F.col("id"))
     else:
-        current = members.join(components, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id"))
-    current = materialize(current.select("band", "id", "n", "comp"), "members")
-    sizes = current.groupBy("band", "comp").agg(F.countDistinct("id").alias("n_ids"))
-    bands = sizes.groupBy("band").agg(
-        F.count("*").alias("n_comps"), F.sum("n_ids").alias("n_all"), F.max(F.struct("n_ids", "comp")).alias("top")
-    )
-    bands = bands.where("n_comps > 1").select("band", "n_all", F.col("top.comp").alias("main"), F.col("top.n_ids").alias("n_main"))
-    return current.join(bands, "band")
+        current = members.join(labels, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "id")).drop("node", "label")
+    sizes = current.groupBy("band", "comp").agg(F.count("*").alias("n_ids"))
+    bands = sizes.groupBy("band").agg(F.count("*").alias("n_comps"), F.sum("n_ids").alias("n_all"), F.max(F.struct("n_ids", "comp")).alias("top"))
+    return current.join(bands.where("n_comps > 1").select("band", "n_all", F.col("top.comp").alias("main")), "band")
 
 
-def _size_fits(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _near(percent: int) -> str:
+    """Sizes and signatures that a link may have; a link fails the second with less than ``MISSED``."""
+    return f"""100 * least(n, p_n) >= {percent} * greatest(n, p_n)
+      and bit_count(s0 ^ p_s0) + bit_count(s1 ^ p_s1) <= {most_different_bits(percent)}"""
 
 
 def _linked(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Components of the confirmed links among the members of each band."""
-    links, tested, components = None, None, None
+    """Confirmed links among the members of each band that settle their components."""
+    links, tested, labels = None, None, None
+    fields = ["id", "n", "s0", "s1", "comp"]
     for turn in range(PIVOT_ROUNDS + 1):
-        current = materialize(_different(members, components), "bands")
-        # tests that are left if every document outside a band's main component meets all others
-        n, left = current.agg(
-            F.count("*"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n_all")))
-        ).first()
+        current = materialize(_different(members, labels), "bands")
+        # tests that are left if every document outside a band's main label meets all others
+        n, left = current.agg(F.count("*"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n_all")))).first()
         if not n:
             break
         whole = turn == PIVOT_ROUNDS or left <= 4 * n
+        renamed = [F.col(c).alias("pivot" if c == "id" else f"p_{c}") for c in fields]
         if whole:
-            outside = current.where("comp != main").select("band", F.col("id").alias("pivot"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp"))
-            met = current.join(outside, "band").where(
-                (F.col("comp") != F.col("p_comp")) & ((F.col("comp") == F.col("main")) | (F.col("id") < F.col("pivot")))
-            )
+            outside = current.where("comp != main").select("band", *renamed)
+            met = current.join(outside, "band").where(f"comp != p_comp and (comp = main or id < pivot) and {_near(percent)}")
         else:
-            chosen = current.groupBy("band").agg(
-                F.min_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp")), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("c")
-            )
-            met = current.join(chosen.select("band", "c.*"), "band").where("comp != p_comp")
-        pairs = met.where(_size_fits("n", "p_n", percent)).select("pivot", "id").distinct()
+            chosen = current.groupBy("band").agg(F.min_by(F.struct(*renamed), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("c"))
+            met = current.join(chosen.select("band", "c.*"), "band").where(f"comp != p_comp and {_near(percent)}")
+        pairs = met.select("pivot", "id").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "id"], "left_anti")
         pairs = materialize(pairs, "candidates")
         found = materialize(_confirmed(pairs, texts, k, percent), "links")
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        components = materialize(connected_components(links), "components")
         if whole:
             break
-    return components
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = _labels(links)
+    return links
 
 
 def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -205,34 +226,29 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """
     rows = pick(docs, "doc_id", "text")
     profile = materialize(
-        rows.mapInArrow(_profile(k, rows_per_band(percent)), "doc_id bigint, n bigint, set1 bigint, set2 bigint, bands array<bigint>"),
+        rows.mapInArrow(_profile(k, rows_per_band(percent)), "doc_id bigint, n bigint, set1 bigint, set2 bigint, s0 bigint, s1 bigint, bands array<bigint>"),
         "sketches",
     )
     usable = profile.where("doc_id is not null and n > 0")
     firsts = usable.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
     slim = materialize(
-        profile.drop("bands").join(firsts, ["n", "set1", "set2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).drop("set1", "set2"),
+        profile.drop("bands", "s0", "s1").join(firsts, ["n", "set1", "set2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).drop("set1", "set2"),
         "rows",
     )
     single = usable.join(firsts, ["n", "set1", "set2"], "left").where("rep is null or rep = doc_id")
-    members = single.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), "n").distinct()
-    members = materialize(members, "members")
-    shared = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
-    members = materialize(members.join(shared, "band"), "members")
-    texts = rows.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi")
-    components = _linked(members, materialize(texts, "texts"), k, percent)
+    banded = single.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
+    shared = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    together = materialize(banded.join(shared, "band").distinct(), "together")
+    ids = broadcast_if_small(together.select("id").distinct(), 1_000_000)
+    about = single.select(F.col("doc_id").alias("id"), "n", "s0", "s1").distinct()
+    members = materialize(together.join(about, "id"), "members")
+    texts = materialize(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts")
+    links = _linked(members, texts, k, percent)
     # a document with several texts joins their groups
     several = slim.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     bridges = slim.where("rep is not null").join(several, "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v")).where("u != v")
-    if not bridges.isEmpty():
-        known = [] if components is None else [components.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u != v")]
-        for extra in known:
-            bridges = bridges.unionByName(extra)
-        components = materialize(connected_components(bridges), "components")
-    if components is None:
-        found = slim.withColumn("component", F.lit(None).cast("bigint"))
-    else:
-        found = slim.join(components, F.col("rep") == F.col("node"), "left")
+    edges = bridges if links is None else bridges.unionByName(links)
+    found = slim.join(connected_components(edges), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

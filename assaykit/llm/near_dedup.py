@@ -30,6 +30,7 @@ BANDS = 40
 MISSED = 1e-6  # most that a pair on the threshold may fail to share every band
 SIGNATURE = 128  # coordinates of which one bit each is carried with the bands
 PIVOT_ROUNDS = 3
+LABEL_STEPS = 2
 STAR_BLOCK = 128  # documents compared with one copy of a pivot's text
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -156,14 +157,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest document that a node is linked to, and that one's in turn.
+    """(node, label): a small document that links lead to from a node, by a few steps of the smallest label.
 
     Documents of one label are in one component; the reverse need not hold, which only costs tests.
     """
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "near")
-    nearer = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return materialize(near.join(nearer, "label").select("node", F.col("next").alias("label")), "labels")
+    for _ in range(LABEL_STEPS):
+        around = both.join(near, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("label"))
+        around = materialize(around, "near")
+        nearer = around.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        near = materialize(around.join(nearer, "label").select("node", F.least("label", "next").alias("label")), "near")
+    return near
 
 
 def _different(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -199,7 +204,7 @@ def _linked(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             outside = current.where("comp != main").select("band", *renamed)
             met = current.join(outside, "band").where(f"comp != p_comp and (comp = main or id < pivot) and {_near(percent)}")
         else:
-            chosen = current.groupBy("band").agg(F.min_by(F.struct(*renamed), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("c"))
+            chosen = current.groupBy("band").agg(F.min_by(F.struct(*renamed), F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), F.col("id").alias("tie"))).alias("c"))
             met = current.join(chosen.select("band", "c.*"), "band").where(f"comp != p_comp and {_near(percent)}")
         pairs = met.select("pivot", "id").distinct()
         if tested is not None:

@@ -2,10 +2,9 @@
 
 A line is the set of its words. Lines with equal sets are collapsed first. The words of a line are
 ordered by rarity, and two lines of similarity 0.8 share a word in their prefixes, the rarest fifth.
-Prefix words meet by a join on (word, size class), with length, positional and signature filters in
-the join; what passes is verified on the whole sets. Each group is first tested against one of its
-lines, so a group of near copies costs its size; only lines that this leaves undecided meet all
-others of their groups.
+Prefix words meet by a join on the word, with length, positional and signature filters in the join;
+what passes is verified on the whole sets. A large group is first tested against one of its lines,
+so a group of near copies costs its size; lines that this leaves undecided meet all others.
 
 Rarity is a count over the whole corpus of a fixed number of hash cells, words of different
 lengths in different cells. The order need only be the same for all lines, so shared cells cost
@@ -14,12 +13,16 @@ candidates but no match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import pick
 from assaykit.session import broadcast_if_small, materialize
 
+SMALL_GROUP = 64  # lines that may meet all others of their group at once
+MOST_SENT = 250_000  # rows of a table that may be broadcast, counted first
 LENGTHS, CELLS = 16, 8192  # word lengths, and cells of each, in the table of counts
 _OTHER_SPACE = ("\t", "\x0b", "\f", "\r")
 
@@ -82,7 +85,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rarity: Column
     spots = reps.join(wanted, "lid").groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("line_no", "lid")).alias("spots"))
     spots = materialize(spots, "spots").select(F.col("doc_id").alias("s_id"), F.col("row_hash").alias("s_hash"), "spots")
     rows = pick(docs, "doc_id", "text").where("text is not null").withColumn("row_hash", F.xxhash64("text"))
-    found = rows.join(broadcast_if_small(spots), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_hash") == F.col("s_hash")))
+    found = rows.join(broadcast_if_small(spots, MOST_SENT), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_hash") == F.col("s_hash")))
     lines = found.withColumn("all", F.split("text", "\n")).select("doc_id", "row_hash", "all", F.explode("spots").alias("s"))
     sets = lines.select(
         F.col("s.lid").alias("lid"), F.struct("doc_id", "row_hash", F.col("s.line_no").alias("line_no")).alias("at"),
@@ -113,26 +116,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     reps = marked.where("not again").drop("again", "first", "s1", "s2").dropDuplicates(["doc_id", "row_hash", "line_no"])
     reps = materialize(reps.withColumn("lid", F.monotonically_increasing_id()), "reps")
 
-    # a line stands in its own size class, and visits the next one if a partner may be there
-    size_class = F.floor(F.log2("n"))
-    classes = F.when(F.floor(F.log2(F.col("n") * 1.25)) > size_class, F.array(size_class, size_class + 1)).otherwise(F.array(size_class))
-    placed = reps.select("lid", "n", "sig0", "sig1", F.posexplode(classes).alias("visits", "cls"), "prefix")
-    placed = placed.select(
-        "lid", "n", "sig0", "sig1", (F.col("visits") == 1).alias("visits"), "cls", F.posexplode("prefix").alias("i", "token")
-    ).withColumn("key", F.xxhash64("token", "cls")).drop("token", "cls")
-
-    group = Window.partitionBy("key").orderBy("lid", "visits")
-    fields = ["lid", "n", "i", "sig0", "sig1", "visits"]
-    starred = placed.withColumn("o", F.first(F.struct(*fields)).over(group)).select("key", *fields, *[F.col(f"o.{c}").alias(f"o_{c}") for c in fields])
-    star = starred.where("lid != o_lid and not (visits and o_visits)").where(_MAY_MATCH).select("lid", "o_lid").distinct()
-    star = materialize(star, "star")
+    # few and narrow columns, as this is the largest exchange; size and place share one
+    placed = reps.select("lid", "n", "sig0", "sig1", F.posexplode("prefix").alias("i", "key"))
+    placed = placed.select("key", "lid", F.expr("shiftleft(cast(n as bigint), 32) | i").alias("size_at"), "sig0", "sig1")
+    fields = ["lid", "size_at", "sig0", "sig1"]
+    unpacked = {"n": "cast(size_at >> 32 as int)", "i": "cast(size_at & 4294967295 as int)"}
+    unpacked |= {f"o_{c}": e.replace("size_at", "o_size_at") for c, e in unpacked.items()}
+    may_match = re.sub(r"\b(o_n|o_i|n|i)\b", lambda m: unpacked[m[1]], _MAY_MATCH)
+
+    large = placed.groupBy("key").agg(F.min("lid").alias("o_lid"), F.count("*").alias("n_lines")).where(f"n_lines > {SMALL_GROUP}")
+    in_large = placed.join(broadcast_if_small(materialize(large.drop("n_lines"), "large"), MOST_SENT), "key")
+    heads = in_large.where("lid = o_lid").select("key", *[F.col(c).alias(f"o_{c}") for c in fields])
+    starred = in_large.drop("o_lid").join(heads, "key")
+    star = materialize(starred.where("lid != o_lid").where(may_match).select("lid", "o_lid").distinct(), "star")
     done = materialize(_verified(star, reps, docs, rarity), "done")
 
-    open_rows = placed.join(broadcast_if_small(done), "lid", "left_anti")
-    other = placed.select("key", *[F.col(c).alias(f"o_{c}") for c in fields])
-    met = open_rows.join(other, "key").where("lid != o_lid and not (visits and o_visits)").where(_MAY_MATCH)
+    other = placed.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in ["key", *fields]])
+    met = placed.join(broadcast_if_small(done, MOST_SENT), "lid", "left_anti").join(other, "key").where("lid != o_lid").where(may_match)
     rest = met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct()
-    rest = materialize(rest.join(star.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")), ["lid", "o_lid"], "left_anti"), "rest")
+    rest = materialize(rest, "rest")
     matched = done.unionByName(_verified(rest, reps, docs, rarity)).distinct()
     similar = reps.join(matched, "lid", "left_semi").select("doc_id", "row_hash", "line_no")
     gone = copies.unionByName(similar).groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("lines"))
@@ -145,7 +147,7 @@ def _kept(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    joined = plain.join(broadcast_if_small(gone), doc_id.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_hash")), "left")
+    joined = plain.join(broadcast_if_small(gone, MOST_SENT), doc_id.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_hash")), "left")
     removed = F.coalesce("g_lines", F.array().cast("array<int>"))
     kept = F.when(F.col("g_lines").isNull(), text).otherwise(
         F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(removed, i)), "\n")

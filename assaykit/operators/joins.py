@@ -24,8 +24,11 @@ def with_labels(scores: DataFrame, labels: DataFrame, key: str = "row_id") -> Da
 
 
 def expert_matrix(long: DataFrame, models: list[str], key: str = "row_id", model: str = "model", score: str = "prob") -> DataFrame:
-    """Long (key, model, score) to one column per model; a row missing from a model is null."""
-    return long.groupBy(key).pivot(model, models).agg(F.first(score))
+    """Long (key, model, score) to one column per model; a row missing from a model is null.
+
+    A (key, model) that is repeated gives its largest score.
+    """
+    return long.groupBy(key).pivot(model, models).agg(F.max(score))
 
 
 def complete_models(long: DataFrame, n_rows: int, model: str = "model") -> DataFrame:

@@ -61,20 +61,24 @@ def roc_auc(df: DataFrame, label: str, score: str, groups: list[str] | None = No
 
 
 def roc_points(df: DataFrame, label: str, score: str, drop_collinear: bool = False) -> DataFrame:
-    """False and true positive rate at every distinct score, highest first.
+    """False and true positive rate from the origin, at threshold infinity, over every distinct score.
 
     ``drop_collinear`` keeps only corner points of the curve: a point goes when the step to it
-    and the step after it add the same number of positives and the same number of negatives.
+    and the step after it add the same number of positives and the same number of negatives. The
+    point of the highest score always stays. An empty table has no points.
     """
     curve = score_curve(df, label, score)
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     if drop_collinear:
         same_step = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
-        curve = curve.where(~F.coalesce(same_step, F.lit(False)))
-    return curve.select(
-        F.col("score").alias("threshold"),
+        curve = curve.where(first | ~F.coalesce(same_step, F.lit(False)))
+    point = F.struct(
+        F.col("score").cast("double").alias("threshold"),
         safe_ratio(F.col("fp"), F.col("negatives")).alias("fpr"),
         safe_ratio(F.col("tp"), F.col("positives")).alias("tpr"),
     )
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return curve.select(F.explode(F.when(first, F.array(origin, point)).otherwise(F.array(point))).alias("p")).select("p.*")
 
 
 def pr_points(curve: DataFrame, groups: list[str] | None = None) -> DataFrame:

@@ -129,7 +129,7 @@ def roc_auc(spark, sf):
     return rounded(metrics.roc_auc(fx.expert_scores_long(spark, sf), "label", "prob", ["model"]), "roc_auc")
 
 
-_ROC = CURVE + "SELECT score AS threshold, ROUND(fp / negatives, 6) AS fpr, ROUND(tp / positives, 6) AS tpr FROM curve"
+_ROC = CURVE + "SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0::DOUBLE AS fpr, 0::DOUBLE AS tpr UNION ALL SELECT score AS threshold, ROUND(fp / negatives, 6) AS fpr, ROUND(tp / positives, 6) AS tpr FROM curve"
 
 
 @query("roc_points", _ROC)
@@ -137,7 +137,7 @@ def roc_points(spark, sf):
     return rounded(metrics.roc_points(fx.expert_scores(spark, sf), "label", "a"), "fpr", "tpr")
 
 
-@query("roc_corners", _ROC + " WHERE next_pos IS NULL OR next_pos <> pos OR next_neg <> neg")
+@query("roc_corners", _ROC + " WHERE (tp = pos AND fp = neg) OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg")
 def roc_corners(spark, sf):
     points = metrics.roc_points(fx.expert_scores(spark, sf), "label", "a", drop_collinear=True)
     return rounded(points, "fpr", "tpr")

@@ -144,3 +144,13 @@ def test_running_totals_and_next(spark):
     assert (out.cum_v.to_numpy() == p.groupby("g").v.cumsum().to_numpy()).all()
     want = p.groupby("g").v.shift(-1).to_numpy()
     assert np.array_equal(out.next_v.to_numpy(dtype=float), want, equal_nan=True)
+
+
+def test_roc_starts_at_the_origin_and_keeps_the_highest_score(spark):
+    rows = list(zip([1, 1, 0, 1, 0], [0.9, 0.8, 0.7, 0.6, 0.5]))
+    df = spark.createDataFrame(rows, "y int, s double")
+    full = sorted((r.threshold, r.fpr, round(r.tpr, 6)) for r in metrics.roc_points(df, "y", "s").collect())
+    assert full == [(0.5, 1.0, 1.0), (0.6, 0.5, 1.0), (0.7, 0.5, 0.666667), (0.8, 0.0, 0.666667), (0.9, 0.0, 0.333333), (float("inf"), 0.0, 0.0)]
+    corners = sorted(r.threshold for r in metrics.roc_points(df, "y", "s", drop_collinear=True).collect())
+    assert corners == [0.5, 0.6, 0.7, 0.8, 0.9, float("inf")]
+    assert metrics.roc_points(df.limit(0), "y", "s").count() == 0

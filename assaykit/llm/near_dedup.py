@@ -28,7 +28,8 @@ from assaykit.session import broadcast_if_small, materialize
 
 BANDS = 40
 MISSED = 1e-6  # most that a pair on the threshold may fail to share every band
-SIGNATURE = 128  # coordinates of which one bit each is carried with the bands
+CELL = 32  # coordinates of which two bits each fit in one number of a signature
+MOST_CELLS = 8
 PIVOT_ROUNDS = 3
 LABEL_STEPS = 2
 STAR_BLOCK = 128  # documents compared with one copy of a pivot's text
@@ -40,14 +41,20 @@ def rows_per_band(percent: int) -> int:
     return max(r for r in range(1, 33) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISSED)
 
 
-def most_different_bits(percent: int) -> int:
-    """Bits in which the signatures of a pair on the threshold differ, more only with less than ``MISSED``."""
-    p = (1 - percent / 100) / 2  # an unequal coordinate differs in its bit half of the time
-    tail, bits = 1.0, -1
+def signature_names(percent: int) -> list[str]:
+    """Columns of a signature: two bits of each coordinate, as far as they fill whole numbers."""
+    return [f"s{i}" for i in range(min(MOST_CELLS, BANDS * rows_per_band(percent) // CELL))]
+
+
+def most_different(percent: int) -> int:
+    """Coordinates in which the signatures of a pair on the threshold differ, more only with less than ``MISSED``."""
+    n = CELL * len(signature_names(percent))
+    p = (1 - percent / 100) * 3 / 4  # two bits of an unequal coordinate are equal a quarter of the time
+    tail, different = 1.0, -1
     while tail > MISSED:
-        bits += 1
-        tail -= comb(SIGNATURE, bits) * p**bits * (1 - p) ** (SIGNATURE - bits)
-    return bits
+        different += 1
+        tail -= comb(n, different) * p**different * (1 - p) ** (n - different)
+    return different
 
 
 def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
@@ -85,15 +92,15 @@ def sketch(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _profile(k: int, r: int):
+def _profile(k: int, r: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in slices(batch.column("text"), lower=True):
                 sets = shingle_sets(w, k)
                 flat = sketch(sets, BANDS * r)
                 coordinates = flat.reshape(b - a, BANDS, r)
-                bits = mix(flat[:, :SIGNATURE]) & np.uint64(1)
-                signs = (bits.reshape(b - a, 2, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+                pairs = mix(flat[:, : CELL * len(names)]) & np.uint64(3)
+                signs = (pairs.reshape(b - a, len(names), CELL) << np.arange(0, 2 * CELL, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, 1))
                 for i in range(r):
                     bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + coordinates[:, :, i])
@@ -105,11 +112,10 @@ def _profile(k: int, r: int):
                         pa.array(n),
                         pa.array(signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))),
                         pa.array(signed(np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64))),
-                        pa.array(signed(signs[:, 0].copy())),
-                        pa.array(signed(signs[:, 1].copy())),
+                        *[pa.array(signed(signs[:, i].copy())) for i in range(len(names))],
                         lists(signed(bands[some].ravel()), np.where(some, BANDS, 0)),
                     ],
-                    ["doc_id", "n", "set1", "set2", "s0", "s1", "bands"],
+                    ["doc_id", "n", "set1", "set2", *names, "bands"],
                 )
 
     return run
@@ -184,14 +190,16 @@ def _different(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _near(percent: int) -> str:
     """Sizes and signatures that a link may have; a link fails the second with less than ``MISSED``."""
+    low = int("01" * CELL, 2)  # the lower bit of each coordinate
+    unequal = [f"bit_count(((s ^ p_s) | shiftrightunsigned(s ^ p_s, 1)) & {low}L)".replace("s ^ p_s", f"{c} ^ p_{c}") for c in signature_names(percent)]
     return f"""100 * least(n, p_n) >= {percent} * greatest(n, p_n)
-      and bit_count(s0 ^ p_s0) + bit_count(s1 ^ p_s1) <= {most_different_bits(percent)}"""
+      and {" + ".join(unequal)} <= {most_different(percent)}"""
 
 
 def _linked(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Confirmed links among the members of each band that settle their components."""
     links, tested, labels = None, None, None
-    fields = ["id", "n", "s0", "s1", "comp"]
+    fields = ["id", "n", *signature_names(percent), "comp"]
     for turn in range(PIVOT_ROUNDS + 1):
         current = materialize(_different(members, labels), "bands")
         # tests that are left if every document outside a band's main label meets all others
@@ -230,14 +238,13 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     empty table gives an empty table.
     """
     rows = pick(docs, "doc_id", "text")
-    profile = materialize(
-        rows.mapInArrow(_profile(k, rows_per_band(percent)), "doc_id bigint, n bigint, set1 bigint, set2 bigint, s0 bigint, s1 bigint, bands array<bigint>"),
-        "sketches",
-    )
+    signature = signature_names(percent)
+    numbers = ", ".join(f"{c} bigint" for c in ["doc_id", "n", "set1", "set2", *signature])
+    profile = materialize(rows.mapInArrow(_profile(k, rows_per_band(percent), signature), f"{numbers}, bands array<bigint>"), "sketches")
     usable = profile.where("doc_id is not null and n > 0")
     firsts = usable.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
     slim = materialize(
-        profile.drop("bands", "s0", "s1").join(firsts, ["n", "set1", "set2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).drop("set1", "set2"),
+        profile.drop("bands", *signature).join(firsts, ["n", "set1", "set2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).drop("set1", "set2"),
         "rows",
     )
     single = usable.join(firsts, ["n", "set1", "set2"], "left").where("rep is null or rep = doc_id")
@@ -245,7 +252,7 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     shared = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     together = materialize(banded.join(shared, "band").distinct(), "together")
     ids = broadcast_if_small(together.select("id").distinct(), 1_000_000)
-    about = single.select(F.col("doc_id").alias("id"), "n", "s0", "s1").distinct()
+    about = single.select(F.col("doc_id").alias("id"), "n", *signature).distinct()
     members = materialize(together.join(about, "id"), "members")
     texts = materialize(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts")
     links = _linked(members, texts, k, percent)

@@ -29,7 +29,8 @@ from assaykit.session import broadcast_if_small, materialize
 BANDS = 40
 MISSED = 1e-6  # most that a pair on the threshold may fail to share every band
 CELL = 32  # coordinates of which two bits each fit in one number of a signature
-MOST_CELLS = 8
+MOST_CELLS = 4
+PARITY = [f"x{i}" for i in range(8)]  # 64 cells each: whether a cell holds an odd number of a set's shingles
 PIVOT_ROUNDS = 3
 LABEL_STEPS = 2
 STAR_BLOCK = 128  # documents compared with one copy of a pivot's text
@@ -92,6 +93,16 @@ def sketch(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit for each cell of a set. Two sets differ in at least as many shingles as their bits do."""
+    n, cells = len(sets), 64 * len(PARITY)
+    values = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    spot = ((mix(values + np.uint64(2)) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+    odd = (np.bincount(owner * cells + spot, minlength=n * cells) & 1).astype(np.uint64)
+    return (odd.reshape(n, len(PARITY), 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
 def _profile(k: int, r: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,6 +112,7 @@ def _profile(k: int, r: int, names: list[str]):
                 coordinates = flat.reshape(b - a, BANDS, r)
                 pairs = mix(flat[:, : CELL * len(names)]) & np.uint64(3)
                 signs = (pairs.reshape(b - a, len(names), CELL) << np.arange(0, 2 * CELL, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+                odd = parity(sets)
                 bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (b - a, 1))
                 for i in range(r):
                     bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + coordinates[:, :, i])
@@ -113,9 +125,10 @@ def _profile(k: int, r: int, names: list[str]):
                         pa.array(signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))),
                         pa.array(signed(np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64))),
                         *[pa.array(signed(signs[:, i].copy())) for i in range(len(names))],
+                        *[pa.array(signed(odd[:, i].copy())) for i in range(len(PARITY))],
                         lists(signed(bands[some].ravel()), np.where(some, BANDS, 0)),
                     ],
-                    ["doc_id", "n", "set1", "set2", *names, "bands"],
+                    ["doc_id", "n", "set1", "set2", *names, *PARITY, "bands"],
                 )
 
     return run
@@ -189,17 +202,19 @@ def _different(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _near(percent: int) -> str:
-    """Sizes and signatures that a link may have; a link fails the second with less than ``MISSED``."""
+    """Sizes, cells and signatures that a link may have; a link fails the last with less than ``MISSED``."""
     low = int("01" * CELL, 2)  # the lower bit of each coordinate
     unequal = [f"bit_count(((s ^ p_s) | shiftrightunsigned(s ^ p_s, 1)) & {low}L)".replace("s ^ p_s", f"{c} ^ p_{c}") for c in signature_names(percent)]
+    odd = " + ".join(f"bit_count({c} ^ p_{c})" for c in PARITY)
     return f"""100 * least(n, p_n) >= {percent} * greatest(n, p_n)
+      and {100 + percent} * ({odd}) <= {100 - percent} * (n + p_n)
       and {" + ".join(unequal)} <= {most_different(percent)}"""
 
 
 def _linked(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Confirmed links among the members of each band that settle their components."""
     links, tested, labels = None, None, None
-    fields = ["id", "n", *signature_names(percent), "comp"]
+    fields = ["id", "n", *signature_names(percent), *PARITY, "comp"]
     for turn in range(PIVOT_ROUNDS + 1):
         current = materialize(_different(members, labels), "bands")
         # tests that are left if every document outside a band's main label meets all others
@@ -238,9 +253,10 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     empty table gives an empty table.
     """
     rows = pick(docs, "doc_id", "text")
-    signature = signature_names(percent)
+    names = signature_names(percent)
+    signature = [*names, *PARITY]
     numbers = ", ".join(f"{c} bigint" for c in ["doc_id", "n", "set1", "set2", *signature])
-    profile = materialize(rows.mapInArrow(_profile(k, rows_per_band(percent), signature), f"{numbers}, bands array<bigint>"), "sketches")
+    profile = materialize(rows.mapInArrow(_profile(k, rows_per_band(percent), names), f"{numbers}, bands array<bigint>"), "sketches")
     usable = profile.where("doc_id is not null and n > 0")
     firsts = usable.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows")
     slim = materialize(

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from assaykit.llm import near_dedup
 from assaykit.llm.near_dedup import near_groups, sketch
 from assaykit.llm.queries import QUERIES
 
@@ -100,3 +101,14 @@ def test_sketch_estimates_similarity():
 def test_small_table(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted([tuple(r) for r in QUERIES["op9_minhash_near_dedup"](spark, small).collect()], key=repr) == brute(rows, 3, 85)
+
+
+def test_sets_differ_in_at_least_as_many_shingles_as_parity_bits():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 4000, n).astype(np.uint64)) for n in (0, 1, 40, 300, 320, 3000)]
+    sets.append(np.union1d(sets[3][20:], sets[2]))
+    bits = near_dedup.parity(sets)
+    assert not bits[0].any()
+    for a, x in zip(sets, bits):
+        for b, y in zip(sets, bits):
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))

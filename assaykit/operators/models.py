@@ -35,7 +35,7 @@ DEFAULTS = {
 # Settings about threads, logging or solvers, which Spark decides itself.
 _IGNORED = {"n_jobs", "thread_count", "verbose", "solver", "class_weight"}
 _ALIASES = {"depth": "max_depth", "iterations": "n_estimators"}
-# Spark trees stop at this depth; "unlimited" maps to it.
+# Spark trees stop at this depth: an unset depth of a forest means it, a greater one is an error.
 MAX_TREE_DEPTH = 30
 
 
@@ -134,11 +134,17 @@ class ProbabilityThreshold(Transformer, DefaultParamsReadable, DefaultParamsWrit
 
 def make_classifier(name: str, params: dict | None = None, on_unsupported: str = "error") -> Estimator:
     """Classifier by name. Parameters without a Spark counterpart raise, or are left out with
-    ``on_unsupported='ignore'``; nothing is silently replaced."""
+    ``on_unsupported='ignore'``. A penalty other than l1 and l2, or a depth that Spark's trees can't
+    have, always raises. A depth that is not set is ``MAX_TREE_DEPTH`` in a forest and 5 in boosted trees."""
     if name not in MODEL_NAMES:
         raise ValueError(f"model {name!r} not recognized; use one of {MODEL_NAMES}")
     given = {_ALIASES.get(k, k): v for k, v in (params or {}).items() if k not in _IGNORED}
     p = {**DEFAULTS[name], **given}
+    if p.get("penalty", "l2") not in ("l1", "l2"):
+        raise ValueError(f"{name}: penalty {p['penalty']!r} is not supported; use 'l1' or 'l2'")
+    depth = p.get("max_depth")
+    if depth is not None and not 1 <= depth <= MAX_TREE_DEPTH:
+        raise ValueError(f"{name}: max_depth {depth} is not between 1 and {MAX_TREE_DEPTH}")
     seed = p.pop("random_state", 42)
     common = {"featuresCol": FEATURES, "labelCol": LABEL, "weightCol": WEIGHT, "seed": seed}
     if name == "logistic_regression":

@@ -208,3 +208,18 @@ def test_ensemble_comparison_lists_all_models(spark, table):
     assert {r["model"] for r in rows} == {"Ensemble (Average)", "Stacking (Logistic Regression)", "Stacking (Random Forest)", "on_a", "on_c"}
     auc = [r["roc_auc"] for r in rows]
     assert auc == sorted(auc, reverse=True)
+
+
+@pytest.mark.parametrize(
+    "name, params",
+    [
+        ("logistic_regression", {"penalty": "elasticnet"}),
+        ("logistic_regression", {"penalty": None}),
+        ("random_forest", {"max_depth": 31}),
+        ("xgboost", {"max_depth": -1}),
+        ("catboost", {"depth": 0}),
+    ],
+)
+def test_parameters_that_spark_cannot_honour_raise(spark, name, params):
+    with pytest.raises(ValueError, match=next(iter(params)).removeprefix("max_")):
+        models.make_classifier(name, params, on_unsupported="ignore")

@@ -33,6 +33,7 @@ MOST_CELLS = 4
 PARITY = [f"x{i}" for i in range(8)]  # 64 cells each: whether a cell holds an odd number of a set's shingles
 PIVOT_ROUNDS = 3
 LABEL_STEPS = 2
+MOST_MET = 16  # filter tests a row of a band may take on average before more pivots are worth their jobs
 STAR_BLOCK = 128  # documents compared with one copy of a pivot's text
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -221,7 +222,7 @@ def _linked(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         n, left = current.agg(F.count("*"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n_all")))).first()
         if not n:
             break
-        whole = turn == PIVOT_ROUNDS or left <= 4 * n
+        whole = turn == PIVOT_ROUNDS or left <= MOST_MET * n
         renamed = [F.col(c).alias("pivot" if c == "id" else f"p_{c}") for c in fields]
         if whole:
             outside = current.where("comp != main").select("band", *renamed)

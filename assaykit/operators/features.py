@@ -91,6 +91,17 @@ def _row_matrix(df: DataFrame, col: str) -> RowMatrix:
     return RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(col), col))
 
 
+def _filled(basis: np.ndarray, moments: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``k`` orthonormal columns: the solver gives none for a singular value of zero."""
+    missing = k - basis.shape[1]
+    if missing <= 0:
+        return basis, moments
+    seen = basis.shape[1]
+    any_vectors = np.random.default_rng(0).standard_normal((basis.shape[0], missing))
+    rest = np.linalg.qr(np.hstack([basis, any_vectors]))[0][:, seen:]
+    return np.hstack([basis, rest]), np.concatenate([moments, np.zeros(missing)])
+
+
 class TruncatedSVD(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Uncentred truncated SVD. Unlike PCA it keeps sparse input sparse."""
 
@@ -123,8 +134,7 @@ class TruncatedSVD(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
             second_moment = np.einsum("ij,ij->j", basis, gram @ basis) / n
         else:
             svd = matrix.computeSVD(k)
-            basis = svd.V.toArray()
-            second_moment = svd.s.toArray() ** 2 / n
+            basis, second_moment = _filled(svd.V.toArray(), svd.s.toArray() ** 2 / n, k)
         # variance of a projection is its second moment less the squared projected mean
         variance = np.maximum(second_moment - (mean @ basis) ** 2, 0.0)
         ratio = variance / total if total > 0 else np.zeros(basis.shape[1])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so at most 1 / share keys are hot.
+from assaykit.session import broadcast_if_small
+
+# A key is hot when it holds more than this share of the rows, or more than this many of them.
 HOT_SHARE = 1 / 1000
-SALTS = 64
+ROWS_PER_COPY = 1_000_000
 
 
 def only_rows(df: DataFrame, ids: DataFrame | None, key: str = "row_id") -> DataFrame:
@@ -48,25 +50,28 @@ def attach_by_key(
     """Add ``values`` from ``lookup`` (one row per key) to every row, hot keys spread over tasks.
 
     ``weight`` is the number of rows per key, which the callers know from the aggregate that
-    built the lookup. Keys above ``HOT_SHARE`` of all rows, at most 1000 of them, are broadcast
-    by name only, so that their rows take one of ``SALTS`` copies of the lookup row.
+    built the lookup. Hot keys are broadcast by name only, their number checked, so that their rows
+    take one of several copies of the lookup row; a key has as many copies as it holds hot shares.
     Null keys match null keys. ``total`` saves counting the rows when it is known.
     """
     total = total if total is not None else lookup.agg(F.sum(weight)).first()[0]
-    limit = F.lit((total or 0) * HOT_SHARE)
-    hot = lookup.where(F.col(weight) > limit).select(F.col(key).alias("__hot_key"), F.lit(True).alias("__hot"))
+    target = max(1.0, min((total or 0) * HOT_SHARE, ROWS_PER_COPY))
+    n_copies = F.ceil(F.col(weight) / F.lit(target)).cast("int")
+    hot = lookup.where(F.col(weight) > target).select(F.col(key).alias("__hot_key"), n_copies.alias("__copies"))
+    # below this total at most 1 / HOT_SHARE keys are hot
+    hot = F.broadcast(hot) if target < ROWS_PER_COPY else broadcast_if_small(hot)
     copies = lookup.select(
         F.col(key).alias("__key"),
         *values,
         F.explode(
-            F.when(F.col(weight) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+            F.when(F.col(weight) > target, F.sequence(F.lit(0), n_copies - 1)).otherwise(F.array(F.lit(0)))
         ).alias("__copy"),
     )
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(SALTS)).cast("int")
-    salted = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot_key")), "left").withColumn(
-        "__salt", F.when(F.col("__hot"), salt).otherwise(0)
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.col("__copies")).cast("int")
+    salted = rows.join(hot, F.col(key).eqNullSafe(F.col("__hot_key")), "left").withColumn(
+        "__salt", F.when(F.col("__copies").isNotNull(), salt).otherwise(0)
     )
     matched = salted.join(
         copies, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy"))
     )
-    return matched.drop("__hot_key", "__hot", "__key", "__salt", "__copy")
+    return matched.drop("__hot_key", "__copies", "__key", "__salt", "__copy")

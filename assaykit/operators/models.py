@@ -33,7 +33,9 @@ DEFAULTS = {
     "catboost": {"n_estimators": 1000, "learning_rate": 0.03, "max_depth": 6},
 }
 # Settings about threads, logging or solvers, which Spark decides itself.
-_IGNORED = {"n_jobs", "thread_count", "verbose", "solver", "class_weight"}
+_IGNORED = {"n_jobs", "thread_count", "verbose", "solver"}
+# Settings that the weight column honours.
+_WEIGHTS = {"class_weight", "scale_pos_weight"}
 _ALIASES = {"depth": "max_depth", "iterations": "n_estimators"}
 # Spark trees stop at this depth: an unset depth of a forest means it, a greater one is an error.
 MAX_TREE_DEPTH = 30
@@ -138,7 +140,7 @@ def make_classifier(name: str, params: dict | None = None, on_unsupported: str =
     have, always raises. A depth that is not set is ``MAX_TREE_DEPTH`` in a forest and 5 in boosted trees."""
     if name not in MODEL_NAMES:
         raise ValueError(f"model {name!r} not recognized; use one of {MODEL_NAMES}")
-    given = {_ALIASES.get(k, k): v for k, v in (params or {}).items() if k not in _IGNORED}
+    given = {_ALIASES.get(k, k): v for k, v in (params or {}).items() if k not in _IGNORED | _WEIGHTS}
     p = {**DEFAULTS[name], **given}
     if p.get("penalty", "l2") not in ("l1", "l2"):
         raise ValueError(f"{name}: penalty {p['penalty']!r} is not supported; use 'l1' or 'l2'")
@@ -170,15 +172,25 @@ def make_classifier(name: str, params: dict | None = None, on_unsupported: str =
     return model
 
 
-def weighting_for(name: str, label: str) -> ClassWeighter:
+def weighting_for(name: str, label: str, params: dict | None = None) -> ClassWeighter:
+    """Default weights of a model, or those that ``class_weight`` or ``scale_pos_weight`` ask for."""
+    given = params or {}
     fixed = POSITIVE_WEIGHT if name in ("xgboost", "catboost") else 0.0
+    if given.get("scale_pos_weight") is not None:
+        fixed = float(given["scale_pos_weight"])
+        if fixed <= 0:
+            raise ValueError("scale_pos_weight must be positive")
+    elif "class_weight" in given:
+        if given["class_weight"] not in ("balanced", None):
+            raise ValueError("class_weight is 'balanced' or None; other weights go into scale_pos_weight")
+        fixed = 0.0 if given["class_weight"] else 1.0
     return ClassWeighter(labelCol=label, positiveWeight=fixed)
 
 
 def classifier_stages(name: str, label: str, params: dict | None = None, on_unsupported: str = "error") -> list:
     """Weights, classifier and the 0.5 decision, to follow the feature stages."""
     return [
-        weighting_for(name, label),
+        weighting_for(name, label, params),
         make_classifier(name, params, on_unsupported),
         ProbabilityThreshold(threshold=0.5),
     ]
@@ -230,7 +242,6 @@ def search(
     Keys of a trial that a feature stage owns (``n_components``) set that stage; the rest go to
     the classifier. The score is the support-weighted F1 averaged over the folds.
     """
-    weighter = weighting_for(model_name, label)
     decision = ProbabilityThreshold(threshold=0.5)
     whole = Pipeline()
     maps = []
@@ -238,11 +249,13 @@ def search(
         owned, rest = {}, dict(trial)
         if "n_components" in rest:
             owned["k"] = rest.pop("n_components")
+            if not any(s.hasParam("k") for s in feature_stages):
+                raise ValueError("n_components is tuned, but no feature stage has components")
         stages = [
             s.copy({s.k: owned["k"]}) if owned and s.hasParam("k") else s for s in feature_stages
         ]
         classifier = make_classifier(model_name, rest, on_unsupported)
-        maps.append({whole.stages: [*stages, weighter, classifier, decision]})
+        maps.append({whole.stages: [*stages, weighting_for(model_name, label, rest), classifier, decision]})
     n_folds = df.agg(F.max(fold)).first()[0] + 1
     labelled = df.withColumn(LABEL, F.col(label).cast("double"))
     validator = CrossValidator(

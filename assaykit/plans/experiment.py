@@ -106,26 +106,33 @@ def _needed(cfg: ExperimentConfig) -> list[str]:
     return list(dict.fromkeys(cols))
 
 
+def _trials(cfg: ExperimentConfig) -> list[dict]:
+    kind, space = cfg.tuning["kind"], cfg.tuning["space"]
+    if kind == "grid":
+        return models.parameter_grid(space)
+    if kind == "sampled":
+        return models.sampled_parameters(space, cfg.tuning.get("n_trials", 50), cfg.seed)
+    raise ValueError(f"unknown tuning kind {kind!r}")
+
+
 def _tune(train: DataFrame, cfg: ExperimentConfig, stages: list) -> tuple[dict, DataFrame]:
     """Best parameters and the trial table.
 
-    A grid refits the feature stages in every fold; sampled trials share features fitted once.
+    A grid refits the feature stages in every fold; sampled trials share features fitted once,
+    unless they draw the number of components, which refits them too.
     Parsing learns nothing from the rows, so the text is parsed once for either.
     """
     kind = cfg.tuning["kind"]
     folds = cv_folds(train, cfg, cfg.tuning.get("folds", 3 if kind == "grid" else 5))
-    if kind == "grid":
-        trials = models.parameter_grid(cfg.tuning["space"])
+    trials = _trials(cfg)
+    if kind == "grid" or "n_components" in cfg.tuning["space"]:
         for parser in [s for s in stages if isinstance(s, FingerprintEncoder)]:
             folds = parser.transform(folds)
         stages = [s for s in stages if not isinstance(s, FingerprintEncoder)]
         inputs = [*(["__fp"] if cfg.fingerprints else []), *cfg.numerics]
-    elif kind == "sampled":
-        trials = models.sampled_parameters(cfg.tuning["space"], cfg.tuning.get("n_trials", 50), cfg.seed)
+    else:
         folds = Pipeline(stages=stages).fit(folds).transform(folds)
         stages, inputs = [], [models.FEATURES]
-    else:
-        raise ValueError(f"unknown tuning kind {kind!r}")
     table = folds.select("fold", cfg.label, *inputs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted, report = models.search(
@@ -150,7 +157,9 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig) -> ExperimentResult:
 
     params, trials = dict(cfg.model_params), None
     if cfg.tuning:
-        params, trials = _tune(train, cfg, stages)
+        counts = [t["n_components"] for t in _trials(cfg) if "n_components" in t]
+        tuned = feature_stages(replace(cfg, svd_components=counts[0]), widths) if counts else stages
+        params, trials = _tune(train, cfg, tuned)
     n_components = params.pop("n_components", None)
     if n_components:
         stages = feature_stages(replace(cfg, svd_components=n_components), widths)

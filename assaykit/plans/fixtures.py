@@ -30,7 +30,7 @@ def _fp_text(entries: str, width: Column) -> Column:
     last = F.coalesce(F.get(held, F.size(held) - 1)["p"], F.lit(-1).cast("long"))
     zeros = F.repeat(F.lit(",0"), (width - 1 - last).cast("int"))
     body = F.array_join(F.transform(held, piece), ",")
-    return F.when(body == "", F.substring(zeros, 2, 10_000)).otherwise(F.concat(body, zeros))
+    return F.when(body == "", F.substr(zeros, F.lit(2))).otherwise(F.concat(body, zeros))
 
 
 def compounds(spark: SparkSession, sf: str) -> DataFrame:

@@ -93,5 +93,5 @@ row_comp AS (
 comps AS (SELECT comp, MIN(id) AS first, COUNT(*) AS n FROM row_comp GROUP BY comp),
 numbered AS (SELECT comp, row_number() OVER (ORDER BY n = 1, first) - 1 AS cluster_id FROM comps),
 clustered AS (
-  SELECT id AS compound_id, CAST(cluster_id AS INT) AS cluster_id FROM row_comp JOIN numbered USING (comp)),
+  SELECT id AS compound_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM row_comp JOIN numbered USING (comp)),
 cluster_sizes AS (SELECT cluster_id, COUNT(*) AS n FROM clustered GROUP BY 1)"""

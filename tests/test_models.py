@@ -223,3 +223,54 @@ def test_ensemble_comparison_lists_all_models(spark, table):
 def test_parameters_that_spark_cannot_honour_raise(spark, name, params):
     with pytest.raises(ValueError, match=next(iter(params)).removeprefix("max_")):
         models.make_classifier(name, params, on_unsupported="ignore")
+
+
+def test_sweep_has_the_same_rows_by_either_solver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 20))
+    rows = [(int(i), x[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").select(array_to_vector("x").alias("v"))
+    tables = []
+    for limit in (4096, 4):
+        monkeypatch.setattr(features, "MAX_GRAM_WIDTH", limit)
+        tables.append([tuple(r) for r in features.svd_sweep(df, "v", 8).orderBy("component").collect()])
+    assert len(tables[0]) == len(tables[1]) == 8
+    assert np.array(tables[0]) == pytest.approx(np.array(tables[1]), abs=1e-8)
+
+
+def test_tuned_component_counts_reach_the_trials(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    n = 240
+    bits = (rng.random((n, 12)) < 0.4).astype(int)
+    y = (bits[:, 3] + bits[:, 8] + rng.normal(size=n) * 0.3 > 0.9).astype(int)
+    rows = [(i, i % 40, int(y[i]), ",".join(map(str, bits[i]))) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, g long, y int, ECFP6 string")
+    for tuning in (
+        {"kind": "grid", "space": {"n_components": [1, 10]}},
+        {"kind": "sampled", "space": {"n_components": ["categorical", [1, 10]]}, "n_trials": 4},
+    ):
+        cfg = ex.ExperimentConfig(
+            run_name="t", model_name="logistic_regression", model_params={"max_iter": 20}, fingerprints=["ECFP6"], label="y",
+            group="g", id_col="row_id", tuning=tuning,
+        )
+        found = ex.run_experiment(df, cfg).trials.collect()
+        assert len({round(r["f1_weighted"], 6) for r in found}) > 1
+        assert len({(r["params"], round(r["f1_weighted"], 6)) for r in found}) == len({r["params"] for r in found})
+
+
+def test_a_component_count_without_an_owner_is_an_error(spark, table):
+    df = spark.createDataFrame(table).withColumn("fold", F.col("id") % 3)
+    with pytest.raises(ValueError, match="n_components"):
+        models.search(df, [], "logistic_regression", "y", [{"n_components": 2}], "fold")
+
+
+def test_class_weights_can_be_set():
+    weight = lambda *args: models.weighting_for(*args).getOrDefault("positiveWeight")
+    assert weight("xgboost", "y", {"scale_pos_weight": 3}) == 3.0
+    assert weight("random_forest", "y", {"class_weight": None}) == 1.0
+    assert weight("catboost", "y", {"class_weight": "balanced"}) == 0.0
+    assert weight("catboost", "y") == models.POSITIVE_WEIGHT
+    for bad in ({"scale_pos_weight": 0}, {"class_weight": {0: 1, 1: 2}}):
+        with pytest.raises(ValueError):
+            models.weighting_for("xgboost", "y", bad)
+    models.make_classifier("xgboost", {"scale_pos_weight": 3})

@@ -79,3 +79,13 @@ def test_expert_matrix_keeps_rows_missing_in_one_model(spark):
     long = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.2), (2, "a", 0.3)], "row_id int, model string, prob double")
     got = {r["row_id"]: (r["a"], r["b"]) for r in joins.expert_matrix(long, ["a", "b"]).collect()}
     assert got == {1: (0.1, 0.2), 2: (0.3, None)}
+
+
+def test_a_key_with_half_of_the_rows_is_spread_over_copies_by_its_size(spark, monkeypatch):
+    rows = spark.range(4000).withColumn("k", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")))
+    lookup = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(joins, "ROWS_PER_COPY", most)
+        got = joins.attach_by_key(rows, lookup, "k", "n", ["v"])
+        assert got.columns == ["id", "k", "v"]
+        assert got.count() == 4000 and got.where("v != 2 * k or v is null").count() == 0

@@ -53,10 +53,13 @@ def running_ranges(stream: DataFrame, fp_cols: list[str]) -> DataFrame:
 
 
 def drain_ranges(
-    spark: SparkSession, source: str, schema: StructType, fp_cols: list[str], state: str, name: str, max_files: int = 2
+    spark: SparkSession, source: str, schema: StructType, fp_cols: list[str], state: str, name: str, max_files: int | None = None
 ) -> DataFrame:
     """Run the range job over all files present and return its final table."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source)
     job = (
         running_ranges(stream, fp_cols)
         .writeStream.outputMode("complete")

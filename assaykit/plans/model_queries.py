@@ -130,7 +130,7 @@ def adversarial_scores(spark, sf):
 
 
 # Rows that no model is fitted on: they play the new data, as in ``fixtures.sources``.
-_IS_NEW = F.expr("compound_id % 5 = 0")
+_IS_NEW, _KNOWN = "compound_id % 5 = 0", "compound_id % 5 != 0"
 
 
 def _experts(table) -> dict[str, PipelineModel]:
@@ -172,7 +172,7 @@ def expert_scores_subset(spark, sf):
 def stacked_scores(spark, sf):
     """Experts, meta model and scored rows are three disjoint sets."""
     table = fx.compounds_file(spark, sf)
-    known = splits.group_holdout(table.where(~_IS_NEW), "group_id", "label", 0.2)
+    known = splits.group_holdout(table.where(_KNOWN), "group_id", "label", 0.2)
     known = materialize(known, "split")
     experts = _experts(known.where("NOT is_test"))
     new = table.where(_IS_NEW).drop("label")
@@ -198,7 +198,7 @@ def _landed(spark, sf, rows="true"):
 @query("stream_scores")
 def stream_scores(spark, sf):
     cfg = _config()
-    model = ex.run_experiment(fx.compounds_file(spark, sf).where(~_IS_NEW), cfg).model
+    model = ex.run_experiment(fx.compounds_file(spark, sf).where(_KNOWN), cfg).model
     source, schema = _landed(spark, sf, _IS_NEW)
     sink = scratch_path(spark, "scored")
     job = jobs.score_files(spark, model, source, schema, sink, scratch_path(spark, "state"), ("compound_id",), 2)

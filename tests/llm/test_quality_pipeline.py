@@ -50,6 +50,14 @@ def test_odd_rows(spark):
     assert quality_scores(docs.toDF("doc_id", "text", *"abcd").select("doc_id", "text"), labels).count() == len(rows)
 
 
+def test_class_shares_hold_in_large_tables(spark):
+    # nothing tells the classes apart, so a score is the share of the good labels
+    docs = spark.range(18_010).selectExpr("id as doc_id", "'some words' as text", "'en' as lang", "'a' as source", "10L as n_chars")
+    labels = spark.range(18_000).selectExpr("id as doc_id", "int(id % 3 > 0) as quality")
+    out = quality_scores(docs, labels).agg({"score": "min", "kept": "min"}).first()
+    assert abs(out["min(score)"] - 2 / 3) < 0.03 and out["min(kept)"]
+
+
 def test_near_stage_keeps_one(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(200)]

@@ -89,22 +89,30 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, most: int = MOST_PER_LABEL, seed: int = 17) -> UrlModel:
-    """Fit on (url, label) with label 1 for bad, on at most ``most`` urls of each label by hash order."""
+    """Fit on (url, label) with label 1 for bad, on at most ``most`` different urls of each label by hash order.
+
+    The urls of a label weigh as much together as all different urls of that label in the table.
+    """
     host, path = host_and_path(F.col("url"))
-    rows = pick(labelled, "url", "label").where("url is not null").select("url", host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"))
+    rows = pick(labelled, "url", "label").where("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label"))
+    # equal urls count once, so that no repeated url fills a sample
+    urls = rows.groupBy("url", "label").agg(F.count("*").alias("n"))
+    urls = materialize(urls.select("url", host.alias("host"), path.alias("path"), "label", "n"), "urls")
+    full = {r.label: r.n for r in urls.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("url"), F.col("url")]
-    picked = rows.where("label = 1").orderBy(*order).limit(most).unionByName(rows.where("label = 0").orderBy(*order).limit(most))
-    picked = materialize(picked, "labelled")
-    n, n_bad = picked.agg(F.count("*"), F.sum("label")).first()
+    weight = F.when(F.col("label") == 1, full.get(1, 0) / max(1, min(most, full.get(1, 0)))).otherwise(full.get(0, 0) / max(1, min(most, full.get(0, 0))))
+    picked = urls.where("label = 1").orderBy(*order).limit(most).unionByName(urls.where("label = 0").orderBy(*order).limit(most))
+    picked = materialize(picked.withColumn("weight", weight), "labelled")
+    n, n_bad = picked.agg(F.sum("n"), F.sum(F.col("n") * F.col("label"))).first()
     prior = (n_bad or 0) / n if n else 0.0
     # one row for each suffix in the bounded sample; rates are drawn to the prior by ten rows
-    suffixes = picked.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("s_count"), F.sum("label").alias("s_bad"))
+    suffixes = picked.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.sum("n").alias("s_count"), F.sum(F.col("n") * F.col("label")).alias("s_bad"))
     suffixes = materialize(suffixes.select("suffix", "s_count", ((F.col("s_bad") + 10 * prior) / (F.col("s_count") + 10)).alias("s_rate")), "suffixes")
     if not n_bad or n_bad == n:
         return UrlModel(None, suffixes, prior)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=10, maxDepth=4, stepSize=0.3, seed=seed)
-    ready = assembler.transform(_with_features(picked, suffixes, prior)).select("features", "label")
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=4, stepSize=0.3, seed=seed)
+    ready = assembler.transform(_with_features(picked, suffixes, prior)).select("features", "label", "weight")
     return UrlModel(PipelineModel([assembler, gbt.fit(ready)]), suffixes, prior)
 
 

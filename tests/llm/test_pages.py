@@ -59,6 +59,15 @@ def test_trees_on_unseen_hosts(spark):
     assert sum((r.verdict == "block") == (r.page_id >= 100) for r in got) >= 195
 
 
+def test_trees_keep_the_shares_of_the_labels(spark):
+    # three in ten urls below /x are bad and none elsewhere: no leaf is bad for the most part, however few are fitted on
+    urls = [(f"http://h.example.org/x/{i}", int(i % 10 < 3)) for i in range(1000, 3000)] + [(f"http://h.example.org/{i}", 0) for i in range(1000, 5000)]
+    urls += [("http://h.example.org/x/1000", 1)] * 3000
+    model = train(spark.createDataFrame(urls, "url string, label int"), most=100)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id bigint, url string")
+    assert judge_urls(pages, model, rules=(("allow", "nowhere/"),)).where("verdict = 'block'").count() == 0
+
+
 def test_plan_is_native(spark, small):
     plan = QUERIES["op1_url_filter"](spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

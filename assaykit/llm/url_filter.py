@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import lower_ascii, pick
+from assaykit.operators.joins import HOT_SHARE
 from assaykit.session import materialize
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Words of host names that label a URL as bad for training. They are no features themselves.
 SEED_TERMS = ("casino", "pills", "spam", "viagra", "lottery", "xxx", "porn", "betting", "replica", "warez")
+MOST_BROADCAST = 100_000  # suffixes
 MOST_PER_LABEL = 5_000  # labelled URLs of each kind that the trees are fitted on
 FEATURES = [
     "f_length", "f_host_length", "f_path_length", "f_labels", "f_depth", "f_digits", "f_host_digits", "f_hyphens", "f_entropy", "f_params",
@@ -65,17 +67,26 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def _with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``rows`` with s_rate and s_count; if there are many suffixes the frequent ones don't take part in the shuffle."""
+    same = _suffix(F.col("host")) == F.col("s_suffix")
+    n, total = stats.agg(F.count("*"), F.sum("s_count")).first()
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(stats), same, "left")
+    hot = F.broadcast(stats.where(F.col("s_count") > total * HOT_SHARE))
+    return rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(stats.hint("shuffle_merge"), same, "left"))
+
+
 def _with_features(rows: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
     """``rows`` (url, host, path, ...) with the features; a suffix never labelled gets the prior."""
-    stats = suffixes.select(F.col("suffix").alias("s_suffix"), "s_rate", "s_count")
-    joined = rows.join(F.broadcast(stats), _suffix(F.col("host")) == F.col("s_suffix"), "left")
+    joined = _with_stats(rows, suffixes.select(F.col("suffix").alias("s_suffix"), "s_rate", "s_count"))
     own = {k: v.cast("double") for k, v in _lexical(F.col("url"), F.col("host"), F.col("path")).items()}
     own |= {"f_suffix_rate": F.coalesce("s_rate", F.lit(prior)), "f_suffix_count": F.log1p(F.coalesce("s_count", F.lit(0))).cast("double")}
     return joined.withColumns(own).drop("s_suffix", "s_rate", "s_count")
 
 
 class UrlModel:
-    """Fitted trees with the suffix statistics they were fitted on. ``trees`` is None without both labels."""
+    """Fitted trees with the suffix statistics of all labelled rows. ``trees`` is None without both labels."""
 
     def __init__(self, trees: PipelineModel | None, suffixes: DataFrame, prior: float):
         self.trees, self.suffixes, self.prior = trees, suffixes, prior
@@ -103,10 +114,10 @@ def train(labelled: DataFrame, most: int = MOST_PER_LABEL, seed: int = 17) -> Ur
     weight = F.when(F.col("label") == 1, full.get(1, 0) / max(1, min(most, full.get(1, 0)))).otherwise(full.get(0, 0) / max(1, min(most, full.get(0, 0))))
     picked = urls.where("label = 1").orderBy(*order).limit(most).unionByName(urls.where("label = 0").orderBy(*order).limit(most))
     picked = materialize(picked.withColumn("weight", weight), "labelled")
-    n, n_bad = picked.agg(F.sum("n"), F.sum(F.col("n") * F.col("label"))).first()
+    n, n_bad = urls.agg(F.sum("n"), F.sum(F.col("n") * F.col("label"))).first()
     prior = (n_bad or 0) / n if n else 0.0
-    # one row for each suffix in the bounded sample; rates are drawn to the prior by ten rows
-    suffixes = picked.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.sum("n").alias("s_count"), F.sum(F.col("n") * F.col("label")).alias("s_bad"))
+    # counted over all labelled rows; rates are drawn to the prior by ten rows
+    suffixes = urls.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.sum("n").alias("s_count"), F.sum(F.col("n") * F.col("label")).alias("s_bad"))
     suffixes = materialize(suffixes.select("suffix", "s_count", ((F.col("s_bad") + 10 * prior) / (F.col("s_count") + 10)).alias("s_rate")), "suffixes")
     if not n_bad or n_bad == n:
         return UrlModel(None, suffixes, prior)

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from assaykit.llm import url_filter
 from assaykit.llm.html_extract import Page, Reference, extract_text
 from assaykit.llm.queries import QUERIES
 from assaykit.llm.url_filter import judge_urls, seed_labels, train
@@ -68,6 +69,21 @@ def test_trees_keep_the_shares_of_the_labels(spark):
     assert judge_urls(pages, model, rules=(("allow", "nowhere/"),)).where("verdict = 'block'").count() == 0
 
 
+def test_suffixes_are_counted_over_all_labelled_rows(spark, monkeypatch):
+    urls = [(f"http://h.site{i % 300}.org/{i}", int(i % 300 < 100)) for i in range(3000)] + [("http://h.site0.org/0", 1)] * 5
+    data = spark.createDataFrame(urls, "url string, label int")
+    model = train(data, most=20)
+    got = {r.suffix: r.s_count for r in model.suffixes.collect()}
+    assert got == {f"site{i}.org": 15 if i == 0 else 10 for i in range(300)}
+    assert model.prior == 1005 / 3005
+    # the same verdicts when the statistics are not broadcast
+    pages = data.selectExpr("cast(hash(url) as bigint) as page_id", "url").union(spark.sql("select 1L, 'http://new.net/x'"))
+    verdicts = lambda: sorted(map(tuple, judge_urls(pages, model).collect()), key=str)
+    small = verdicts()
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", 10)
+    assert verdicts() == small and len(small) == 3006
+
+
 def test_plan_is_native(spark, small):
     plan = QUERIES["op1_url_filter"](spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,6 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-One page of each host is the reference. Every page of the host is aligned with it by simple tree
+The pages of a host fall into layouts by the structural tags and the classes they use. Every layout on
+``MIN_PAGES`` different pages has a reference, a page of its most frequent sequence of tags; other pages
+go with the host's most frequent layout. Pages are aligned with their reference by simple tree
 matching, and a node of the reference whose text is the same on the aligned pages is template. The
 rest are varying slots: of these the article's are content, and slots in menus, sidebars, notices and
 the like are not, which their tags, roles and class names tell.
@@ -41,6 +43,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 MAX_DEPTH = 100  # deeper elements hang on the one at this depth
+# Markup of running text, which does not tell one layout from another.
+PROSE = sorted(INLINE | VOID | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split()))
 MIN_PAGES = 5  # different pages that must agree before a text is template
 GRID = 250_000  # children compared with children before names alone decide
 
@@ -273,14 +277,15 @@ def _digest(text: str) -> int:
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [Page(x or "").skeleton() for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "skeleton"])
+        names = ["host", "layout", "is_main"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found, pa.string())], [*names, "skeleton"])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of the text at each element of the reference, for every page; element -1 stands for the page."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            hosts, spots, texts, pages = [], [], [], []
+            hosts, refs, spots, texts, pages = [], [], [], [], []
             for row in batch.slice(i, 256).to_pylist():
                 html = row["html"] or ""
                 page, mark = Page(html), _digest(html)
@@ -288,12 +293,13 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [(at[n], _digest(t)) for n, t in page.own_texts().items() if n in at]
                 for spot, text in [(-1, 0), *own]:
                     hosts.append(row["host"])
+                    refs.append(row["ref"])
                     spots.append(spot)
                     texts.append(text)
                     pages.append(mark)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(spots, pa.int32()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64())],
-                ["host", "spot", "text", "page"],
+                [pa.array(hosts, pa.string()), pa.array(refs, pa.int64()), pa.array(spots, pa.int32()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64())],
+                ["host", "ref", "spot", "text", "page"],
             )
 
 
@@ -317,25 +323,51 @@ def host_of(url: Column) -> Column:
     return F.coalesce(lower_ascii(F.regexp_extract(url, r"^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
+def _laid_out(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host, layout, and shape (the sequence of tags; null if there are none)."""
+    html, tag = F.coalesce("html", F.lit("")), "[a-zA-Z][a-zA-Z0-9:-]*"
+    rows = pick(pages, "page_id", "url", "html").withColumns({
+        "host": host_of(F.col("url")),
+        "tags": F.regexp_extract_all(html, F.lit(f"<(/?{tag})")),
+        "classes": F.regexp_extract_all(html, F.lit(r"""\sclass\s*=\s*["']?\s*([^\s"'>]+)""")),
+    })
+    structure = F.filter(F.transform("tags", lambda t: F.lower(F.ltrim(t, F.lit("/")))), lambda t: ~t.isin(PROSE))
+    layout = F.xxhash64(F.array_sort(F.array_distinct(F.concat(structure, F.transform("classes", lambda c: F.concat(F.lit("."), c))))))
+    return rows.withColumns({"layout": layout, "shape": F.when(F.size("tags") > 0, F.xxhash64("tags"))}).drop("tags", "classes")
+
+
+def _with_wrapper(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ref, skeleton and template of their layout, or else of the host's most frequent layout."""
+    own = found.withColumns({"ref": F.col("layout"), "wrapper": F.struct(F.col("layout").alias("ref"), "skeleton", "template")})
+    main = own.where("is_main").select("host", F.col("wrapper").alias("main"))
+    joined = rows.join(broadcast_if_small(own.select("host", "layout", "wrapper"), 5_000), ["host", "layout"], "left")
+    joined = joined.join(broadcast_if_small(main, 5_000), "host", "left").withColumn("wrapper", F.coalesce("wrapper", "main"))
+    return joined.select(*rows.columns, "wrapper.ref", "wrapper.skeleton", "wrapper.template")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, template): the reference tree of each host and its template elements.
+    """(host, layout, is_main, skeleton, template): the reference trees of each host and their template elements.
 
     Template are elements with one text on at least ``MIN_PAGES`` different pages and on half of the
-    host's different pages. A host with fewer pages has no template.
+    different pages that go with the reference. With fewer pages there is no template.
     """
-    rows = pick(pages, "page_id", "url", "html").select(host_of(F.col("url")).alias("host"), "page_id", "html")
-    first = rows.groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", F.xxhash64("html"))).alias("html"))
-    skeletons = materialize(first.mapInArrow(_skeletons, "host string, skeleton string"), "skeletons")
-    slots = rows.select("host", "html").join(broadcast_if_small(skeletons, 5_000), "host").mapInArrow(
-        _slots, "host string, spot int, text bigint, page bigint"
-    )
+    rows = _laid_out(pages).where("shape is not null").select("host", "layout", "shape", "html", F.xxhash64("html").alias("mark"))
+    shapes = rows.select("host", "layout", "shape", "mark").distinct().groupBy("host", "layout", "shape").agg(F.count("*").alias("n"), F.min("mark").alias("mark"))
+    layouts = materialize(shapes.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.max_by("mark", F.struct("n", "shape")).alias("mark")), "layouts")
+    most = layouts.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("main"))
+    kept = layouts.join(most, "host").withColumn("is_main", F.col("layout") == F.col("main")).where(F.col("is_main") | (F.col("n") >= MIN_PAGES))
+    kept = materialize(kept.select("host", "layout", "mark", "is_main"), "kept")
+    first = rows.join(broadcast_if_small(kept), ["host", "layout", "mark"]).groupBy("host", "layout", "is_main").agg(F.min("html").alias("html"))
+    skeletons = materialize(first.mapInArrow(_skeletons, "host string, layout bigint, is_main boolean, skeleton string"), "skeletons")
+    slots = _with_wrapper(rows.select("host", "layout", "html"), skeletons.withColumn("template", F.lit(None).cast("array<int>"))).select("host", "ref", "html", "skeleton")
+    slots = slots.mapInArrow(_slots, "host string, ref bigint, spot int, text bigint, page bigint")
     spots = materialize(
-        slots.groupBy("host", "spot").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.approx_count_distinct("page").alias("n")), "spots"
+        slots.groupBy("host", "ref", "spot").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.count_distinct("page").alias("n")), "spots"
     )
-    whole = spots.where("spot = -1").select("host", F.col("n").alias("n_pages"))
-    fixed = spots.where("spot >= 0 and lo = hi").join(whole, "host").where(F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.col("n_pages") / 2))
-    template = fixed.groupBy("host").agg(F.sort_array(F.collect_list("spot")).alias("template"))
-    return skeletons.join(template, "host", "left")
+    whole = spots.where("spot = -1").select("host", "ref", F.col("n").alias("n_pages"))
+    fixed = spots.where("spot >= 0 and lo = hi").join(whole, ["host", "ref"]).where(F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.col("n_pages") / 2))
+    template = fixed.groupBy("host", F.col("ref").alias("layout")).agg(F.sort_array(F.collect_list("spot")).alias("template"))
+    return skeletons.join(template, ["host", "layout"], "left")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -346,7 +378,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     is closed. Repeated pages count once when templates are sought. If a page has several articles
     the longest is its main text. An empty table gives an empty table.
     """
-    rows = pick(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     found = materialize(wrappers(pages), "wrappers")
-    joined = rows.join(broadcast_if_small(found, 5_000), "host", "left")
-    return joined.select("page_id", "url", "html", "skeleton", "template").mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")
+    rows = _with_wrapper(_laid_out(pages).select("page_id", "url", "html", "host", "layout"), found)
+    return rows.select("page_id", "url", "html", "skeleton", "template").mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")

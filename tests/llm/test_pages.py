@@ -142,6 +142,18 @@ def test_template_of_a_host(spark):
     assert run(spark, [("http://same/", page(2))] * 9)[0].startswith("Welcome")
 
 
+def test_template_when_the_first_page_is_odd(spark):
+    def page(i):
+        return f"<body><div>Welcome to our shop</div><div><p>Item {i} is new</p><p>All rights kept</p></div></body>"
+
+    def other(i):
+        return f"<body><section class=big><p>Story {i}</p></section><section><p>Told by us</p></section></body>"
+
+    rows = [("http://shop/", None), ("http://shop/e", "<h1>Error</h1>")] + [("http://shop/", page(i)) for i in range(8)] + [("http://shop/", other(i)) for i in range(6)]
+    got = run(spark, rows)
+    assert got[0] == "" and got[2:10] == [f"Item {i} is new" for i in range(8)] and got[10:] == [f"Story {i}" for i in range(6)]
+
+
 def brute_matching(a, b):
     """Size of the largest simple tree matching, from its definition."""
     if a[0] != b[0]:

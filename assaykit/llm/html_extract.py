@@ -31,9 +31,11 @@ DROPPED = set("head script style noscript template iframe noembed noframes objec
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status note".split())
 CLASSES = set(
     "ad ads adv advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay "
-    "newsletter subscribe subscription sidebar sidenav menu submenu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus "
+    "teaser teasers newsletter subscribe subscription sidebar sidenav menu submenu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus "
     "replies reply respond discussion share sharing social related recommended recommendations widget pagination pager login signup search skip".split()
 )
+# Of these also an article itself is marked.
+ARTICLE_CLASSES = set("comment comments reply teaser teasers ad ads advert adverts advertisement sponsor sponsored promo promotion related recommended recommendations".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("table ul ol dl div section article main body html blockquote form td th nav aside header footer".split())
@@ -55,8 +57,7 @@ class Page:
     def __init__(self, html: str):
         self.label, self.parent, self.kids, self.out = ["#"], [-1], [[]], [False]
         self.flow: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
-        self.article: list[int] = []
-        self.main: list[int] = []
+        self.inside = [False]  # in an article or main part
         self._build(html)
 
     def _build(self, html: str) -> None:
@@ -109,7 +110,7 @@ class Page:
 
     def _add(self, name: str, attributes: str, parent: int) -> int:
         node, label, out = len(self.label), name, self.out[parent] or name in DROPPED
-        inside = parent in self.article or parent in self.main or any(self._within(parent, x) for x in (self.article[-1:] + self.main[-1:]))
+        inside = self.inside[parent]
         if name == "header" and not inside:
             out = True
         main = name == "main"
@@ -118,7 +119,7 @@ class Page:
             words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
             role = found.get("role", "").lower()
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-            by_class = words & (CLASSES if name not in ("html", "body", "main", "article") else {"comment", "comments", "reply"} if name == "article" else set())
+            by_class = words & (CLASSES if name not in ("html", "body", "main", "article") else ARTICLE_CLASSES if name == "article" else set())
             out = out or role in ROLES or hidden or bool(by_class)
             main = main or role == "main" or found.get("itemprop") == "articleBody"
             if found.get("class"):
@@ -128,37 +129,22 @@ class Page:
         self.kids.append([])
         self.out.append(out)
         self.kids[parent].append(node)
-        if not out and name == "article" and not any(self._within(parent, x) for x in self.article[-1:]):
-            self.article.append(node)
-        elif not out and main:
-            self.main.append(node)
+        self.inside.append(inside or not out and (name == "article" or main))
         return node
 
-    def _within(self, node: int, top: int) -> bool:
-        while node > top:
-            node = self.parent[node]
-        return node == top
-
     def blocks(self, skip: set[int] = frozenset()) -> list[str]:
-        """Texts of the content blocks in page order, without the elements in ``skip``."""
-        tops = self.article or self.main or [0]
-        last = len(self.label)
-        regions = []
-        for top in tops:
-            end = next((i for i in range(top + 1, last) if self.parent[i] < top), last)
-            regions.append((top, end))
-        found = {top: self._region(top, end, skip) for top, end in regions}
-        best = max(found, key=lambda t: (sum(map(len, found[t])), -t))
-        return found[best]
-
-    def _region(self, top: int, end: int, skip: set[int]) -> list[str]:
+        """Texts of the content blocks in page order, without the elements in ``skip``.
+
+        They are those of all articles and main parts, or of the whole page if it has neither.
+        """
+        everywhere = not any(self.inside)
         out, held = [], []
         for node, text in self.flow:
             if text is None:
                 if held:
                     out.append("".join(held))
                     held = []
-            elif top <= node < end and not self.out[node] and node not in skip:
+            elif (everywhere or self.inside[node]) and not self.out[node] and node not in skip:
                 held.append(text)
         out.append("".join(held))
         return [t for t in (" ".join(unescape(x).split()) for x in out) if t]
@@ -375,8 +361,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages without content, give an empty text. Pages whose url is null or
     has no host share one group. Broken markup is read as far as it goes: what is open at the end
-    is closed. Repeated pages count once when templates are sought. If a page has several articles
-    the longest is its main text. An empty table gives an empty table.
+    is closed. Repeated pages count once when templates are sought. All articles and main parts
+    that are not marked as teasers, comments or adverts are joined in page order. An empty table gives an empty table.
     """
     found = materialize(wrappers(pages), "wrappers")
     rows = _with_wrapper(_laid_out(pages).select("page_id", "url", "html", "host", "layout"), found)

@@ -129,6 +129,12 @@ def test_odd_pages(spark):
     assert run(spark, []) == []
 
 
+def test_all_articles_and_main_parts_are_joined():
+    page = """<nav>Menu</nav><main><p>Before</p><article><h1>One</h1><p>first</p></article>between<article class="teaser">Read on</article>
+<article>Two<article class=comment>So true</article> and more</article></main><div>Bar</div><article>Three</article><article class="ad">Buy</article>"""
+    assert Page(page).blocks() == ["Before", "One", "first", "between", "Two", "and more", "Three"]
+
+
 def test_template_of_a_host(spark):
     def page(i):
         return f"<body><div>Welcome to our shop</div><div><p>Item {i} is new</p><p>Best price {i * 7}</p><p>All rights kept</p></div></body>"

@@ -11,11 +11,13 @@ the like are not, which their tags, roles and class names tell.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,6 @@ MAX_DEPTH = 100  # deeper elements hang on the one at this depth
 # Markup of running text, which does not tell one layout from another.
 PROSE = sorted(INLINE | VOID | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split()))
 MIN_PAGES = 5  # different pages that must agree before a text is template
-GRID = 250_000  # children compared with children before names alone decide
 
 
 class Page:
@@ -162,6 +163,46 @@ class Page:
         return "\n".join(f"{p} {label}" for p, label in zip(self.parent[1:], self.label[1:]))
 
 
+def _row(above: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The next row of the programme: best sums with the first j of the second list."""
+    row = above.copy()
+    np.maximum(row[1:], above[:-1] + scores, out=row[1:])
+    return np.maximum.accumulate(row)
+
+
+def _best(rows: list[int], scores: Callable[[int], np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Last row of the programme that matches two lists in order; ``scores`` has them by shape."""
+    row = np.zeros(len(columns) + 1, np.int32)
+    for i in rows:
+        row = _row(row, scores(i)[columns])
+    return row
+
+
+def _matching(rows: list[int], scores: Callable[[int], np.ndarray], columns: np.ndarray) -> list[tuple[int, int]]:
+    """A best matching in order. Of n rows of the programme about 2 sqrt(n) are held at a time."""
+    step = math.isqrt(len(rows)) + 1
+    held, row = [], np.zeros(len(columns) + 1, np.int32)
+    for n, i in enumerate(rows):
+        if n % step == 0:
+            held.append(row)
+        row = _row(row, scores(i)[columns])
+    out, j = [], len(columns)
+    for block in range(len(held) - 1, -1, -1):
+        part, grid = rows[block * step : (block + 1) * step], [held.pop()]
+        for i in part:
+            grid.append(_row(grid[-1][: j + 1], scores(i)[columns[:j]]))
+        i = len(part)
+        while i and j:
+            if grid[i][j] == grid[i - 1][j]:
+                i -= 1
+            elif grid[i][j] == grid[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((block * step + i, j))
+    return out
+
+
 class Reference:
     """The tree of a host's reference page and what aligning with it has found so far."""
 
@@ -186,59 +227,77 @@ class Reference:
 
     def align(self, page: Page) -> dict[int, int]:
         """Element of the page to element of the reference, for the largest simple tree matching."""
-        if len(self.ids) > 100_000:
+        if len(self.ids) > 100_000 or len(self.scores) > 1_000_000:
             self.ids, self.scores = {}, {}
             self.shapes, self.sizes = self._shapes(self.label, self.kids)
         shape, size = self._shapes(page.label, page.kids)
         found: dict[int, int] = {}
 
-        def score(a: int, b: int) -> int:
+        def score(a: int, b: int) -> int | None:
+            """Size of the largest matching with ``a`` and ``b`` matched; None if not known yet."""
             if page.label[a] != self.label[b]:
                 return 0
             if shape[a] == self.shapes[b]:
                 return size[a]
-            key = (shape[a], self.shapes[b])
-            if key not in self.scores:
-                self.scores[key] = 1 + sum(s for _, _, s in pairs(page.kids[a], self.kids[b]))
-            return self.scores[key]
+            return self.scores.get((shape[a], self.shapes[b]))
 
-        def pairs(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
+        def ends(a: int, b: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+            """Children that match as the lists begin and end alike, and the lists between."""
+            x, y = page.kids[a], self.kids[b]
             out, lo, hx, hy = [], 0, len(x), len(y)
             while lo < min(hx, hy) and shape[x[lo]] == self.shapes[y[lo]]:
-                out.append((x[lo], y[lo], size[x[lo]]))
+                out.append((x[lo], y[lo]))
                 lo += 1
             while hx > lo and hy > lo and shape[x[hx - 1]] == self.shapes[y[hy - 1]]:
                 hx, hy = hx - 1, hy - 1
-                out.append((x[hx], y[hy], size[x[hx]]))
-            x, y = x[lo:hx], y[lo:hy]
+                out.append((x[hx], y[hy]))
+            return out, x[lo:hx], y[lo:hy]
+
+        def by_label(y: list[int]) -> dict[str, list[tuple[int, int]]]:
+            """(number, element) of the different shapes in ``y`` for each label."""
+            found: dict[str, list[tuple[int, int]]] = {}
+            for i, k in enumerate({self.shapes[k]: k for k in y}.values()):
+                found.setdefault(self.label[k], []).append((i, k))
+            return found
+
+        def table(x: list[int], y: list[int]) -> tuple[list[int], Callable[[int], np.ndarray], np.ndarray]:
+            """The shapes of ``x``, the scores of such a shape with the different shapes of ``y``, and those of ``y`` by number."""
+            of_x, likes = {shape[k]: k for k in x}, by_label(y)
+            number = {s: i for i, s in enumerate({self.shapes[k]: k for k in y})}
+
+            @lru_cache(maxsize=16 + 4_000_000 // len(number))
+            def scores(s: int) -> np.ndarray:
+                row = np.zeros(len(number), np.int32)
+                for i, k in likes.get(page.label[of_x[s]], ()):
+                    row[i] = score(of_x[s], k)
+                return row
+
+            return [shape[k] for k in x], scores, np.array([number[self.shapes[k]] for k in y])
+
+        def fill(a: int, b: int) -> None:
+            """Find the score of ``a`` and ``b`` and all that it needs, the inner ones first."""
+            todo = [(a, b)]
+            while todo:
+                a, b = todo[-1]
+                if score(a, b) is not None:
+                    todo.pop()
+                    continue
+                same, x, y = ends(a, b)
+                likes = by_label(y)
+                need = [(k, m) for k in {shape[k]: k for k in x}.values() for _, m in likes.get(page.label[k], ()) if score(k, m) is None]
+                if need:
+                    todo += need
+                    continue
+                todo.pop()
+                inner = int(_best(*table(x, y))[-1]) if x and y else 0
+                self.scores[shape[a], self.shapes[b]] = 1 + sum(size[k] for k, _ in same) + inner
+
+        def pairs(a: int, b: int) -> list[tuple[int, int]]:
+            same, x, y = ends(a, b)
             if not x or not y:
-                return out
-            if len(x) * len(y) > GRID:
-                at = 0
-                for a in x:
-                    to = next((i for i in range(at, len(y)) if self.label[y[i]] == page.label[a]), None)
-                    if to is not None:
-                        out.append((a, y[to], 1))
-                        at = to + 1
-                return out
-            grid = [[0] * (len(y) + 1)]
-            cells = []
-            for a in x:
-                row, above = [0], grid[-1]
-                cells.append([score(a, b) for b in y])
-                for j, s in enumerate(cells[-1]):
-                    row.append(max(above[j + 1], row[j], above[j] + s))
-                grid.append(row)
-            i, j = len(x), len(y)
-            while i and j:
-                if grid[i][j] == grid[i - 1][j]:
-                    i -= 1
-                elif grid[i][j] == grid[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    out.append((x[i], y[j], cells[i][j]))
-            return out
+                return same
+            fill(a, b)
+            return same + [(x[i], y[j]) for i, j in _matching(*table(x, y))]
 
         todo = [(0, 0)]
         while todo:
@@ -247,7 +306,7 @@ class Reference:
             if shape[a] == self.shapes[b]:
                 todo += zip(page.kids[a], self.kids[b])
             else:
-                todo += [(x, y) for x, y, s in pairs(page.kids[a], self.kids[b]) if s]
+                todo += pairs(a, b)
         return found
 
 

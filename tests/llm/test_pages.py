@@ -184,3 +184,13 @@ def test_alignment_is_a_largest_matching(seed):
     a, b = ("div", [tree(3), tree(2)]), ("div", [tree(3), tree(2), tree(1)])
     found = Reference(Page(text(b)).skeleton()).align(Page(text(a)))
     assert len(set(found.values())) == len(found) == 1 + brute_matching(a, b)
+
+
+def test_long_lists_are_aligned_like_short_ones():
+    # one late <section> must not keep the many siblings after it from their partners
+    a = "<section>s</section>" + "".join(f"<div><p>{i}</p></div><h2>{i}</h2>" for i in range(700))
+    b = "".join(f"<h2>{i}</h2><div><p>{i}</p><b>x</b></div>" for i in range(700)) + "<section>s</section><div></div>"
+    page, ref = Page(a), Reference(Page(b).skeleton())
+    found = ref.align(page)
+    # 700 <div> with their <p>, the 699 <h2> between them and the root
+    assert len(found) == len(set(found.values())) == 700 * 2 + 699 + 1

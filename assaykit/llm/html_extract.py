@@ -46,7 +46,6 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-MAX_DEPTH = 100  # deeper elements hang on the one at this depth
 # Markup of running text, which does not tell one layout from another.
 PROSE = sorted(INLINE | VOID | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split()))
 MIN_PAGES = 5  # different pages that must agree before a text is template
@@ -63,6 +62,7 @@ class Page:
 
     def _build(self, html: str) -> None:
         stack, names, at, n = [0], ["#"], 0, len(html)
+        opened: dict[str, int] = {}  # how often a name stands in names
         while at < n:
             m = TOKEN.search(html, at)
             if m is None:
@@ -75,9 +75,10 @@ class Page:
             if not name:
                 continue
             if m[1] or m[4]:
-                if name in names[1:]:
+                if opened.get(name):
                     while True:
                         top, gone = names.pop(), stack.pop()
+                        opened[top] -= 1
                         if top not in INLINE:
                             self.flow.append((gone, None))
                         if top == name:
@@ -86,9 +87,11 @@ class Page:
                     self.flow.append((stack[-1], None))
                 continue
             closes = SAME.get(name)
-            if closes or name in CLOSES_P:
+            if closes or name in CLOSES_P and opened.get("p"):
                 for i in range(len(names) - 1, 0, -1):
                     if closes and names[i] in closes or not closes and names[i] == "p":
+                        for gone in names[i:]:
+                            opened[gone] -= 1
                         del names[i:], stack[i:]
                         break
                     if names[i] in SCOPE:
@@ -96,7 +99,7 @@ class Page:
             if name == "br":
                 self.flow.append((stack[-1], "\n"))
                 continue
-            node = self._add(name, m[3] or m[6] or "", stack[min(len(stack), MAX_DEPTH) - 1])
+            node = self._add(name, m[3] or m[6] or "", stack[-1])
             if name not in INLINE:
                 self.flow.append((node, None))
             if name in RAW:
@@ -108,6 +111,7 @@ class Page:
             elif name not in VOID:
                 stack.append(node)
                 names.append(name)
+                opened[name] = opened.get(name, 0) + 1
 
     def _add(self, name: str, attributes: str, parent: int) -> int:
         node, label, out = len(self.label), name, self.out[parent] or name in DROPPED

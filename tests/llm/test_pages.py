@@ -135,6 +135,14 @@ def test_all_articles_and_main_parts_are_joined():
     assert Page(page).blocks() == ["Before", "One", "first", "between", "Two", "and more", "Three"]
 
 
+def test_deep_elements_keep_their_parents():
+    deep = "<div>" * 5000
+    assert Page(deep + "<article><p>one</p><nav><div>Menu</div></nav><p>two</p></article>rest").blocks() == ["one", "two"]
+    assert Page(deep + "<main><p>text</p></main><p>after</p>").blocks() == ["text"]
+    assert Page(deep + "<p>text</p><aside><div><p>Side</p></div></aside>").blocks() == ["text"]
+    assert len(Reference(Page(deep + "<p>x").skeleton()).align(Page(deep + "<ul><li>x</ul><p>y"))) == 5002
+
+
 def test_template_of_a_host(spark):
     def page(i):
         return f"<body><div>Welcome to our shop</div><div><p>Item {i} is new</p><p>Best price {i * 7}</p><p>All rights kept</p></div></body>"

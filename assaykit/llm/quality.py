@@ -1,12 +1,12 @@
 """Quality classifier by co-training.
 
 Two views of a document, its text and its metadata, each have a logistic model. In every round a
-model labels the documents of an unlabelled pool that it is sure of, and the other model is fitted
+model labels the unlabelled documents that it is sure of, and the other model is fitted
 again with those. At the end each view is calibrated on labelled rows held back from the fits, the
 calibrated views are combined, and every document is scored in one pass without a shuffle.
 
 Fits and calibration use every labelled document, so that the classes keep their shares at every
-size. The unlabelled pool is at most ``MOST_POOL`` documents, by hash order of the id.
+size, and the pool is every unlabelled document.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from assaykit.llm.common import pick
 from assaykit.llm.wordhash import Words, slices
 from assaykit.session import broadcast_if_small, materialize
 
-MOST_POOL = 10_000
 ROUNDS, SURE = 3, 0.97
 KEEP_FROM = 0.5
 _META = ["m_lang", "m_source", "m_size"]
@@ -119,16 +118,12 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """
     known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
     known = materialize(known.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")), "known")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    pool = pick(docs, "doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(MOST_POOL)
-    chosen = known.where("y = z").select("doc_id", F.col("y").cast("double").alias("y"))
-    chosen = materialize(chosen.unionByName(pool.withColumn("y", F.lit(None).cast("double"))), "chosen")
-
     plain, at = _columns(docs)
     rows = plain.select(at["doc_id"].alias("doc_id"), *[c.alias(n) for n, c in _views(docs, at).items()]).where("doc_id is not null")
     # features come before the join, so that no text is shuffled if it isn't a broadcast
     rows = _featured(rows).select("doc_id", "t_features", "m_features")
-    rows = materialize(rows.join(broadcast_if_small(chosen), "doc_id").select("doc_id", "y", "t_features", "m_features"), "sample")
+    rows = rows.join(broadcast_if_small(known), "doc_id", "left").where("y is null or y = z")
+    rows = materialize(rows.select("doc_id", F.col("y").cast("double").alias("y"), "t_features", "m_features"), "featured")
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0
     base = rows.where(F.col("y").isNotNull() & ~held)
     held_back, pool = rows.where(F.col("y").isNotNull() & held), rows.where("y is null").drop("y")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from assaykit.llm import stages
+from assaykit.llm import quality, stages
 from assaykit.llm.quality import N_FEATURES, keep_good, quality_scores, text_features
 from assaykit.llm.queries import QUERIES
 from assaykit.llm.wordhash import Words
@@ -58,6 +58,16 @@ def test_class_shares_hold_in_large_tables(spark):
     assert abs(out["min(score)"] - 2 / 3) < 0.03 and out["min(kept)"]
 
 
+def test_pseudo_labels_come_from_the_whole_corpus(spark, monkeypatch):
+    text = "if(id % 2 = 0, 'clean words here and there', 'X!! | %%% ##') as text"
+    docs = spark.range(12_200).selectExpr("id as doc_id", text, "if(id % 2 = 0, 'en', 'de') as lang", "'a' as source", "if(id % 2 = 0, 30L, 9L) as n_chars")
+    labels = spark.range(200).selectExpr("id as doc_id", "int(id % 2 = 0) as quality")
+    sizes, fit = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda rows, view: sizes.append(rows.count()) or fit(rows, view))
+    quality.train(docs, labels)
+    assert max(sizes) > 12_000
+
+
 def test_near_stage_keeps_one(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(200)]

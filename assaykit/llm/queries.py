@@ -5,6 +5,7 @@ from __future__ import annotations
 from assaykit.llm.bpe import round_trip_digests
 from assaykit.llm.common import TOKENIZER, table
 from assaykit.llm.exact_dedup import exact_dedup
+from assaykit.llm.fill_middle import FIM_SQL, fim_digests
 from assaykit.llm.hnsw import nearest, stated_queries
 from assaykit.llm.html_extract import extract_text
 from assaykit.llm.line_dedup import dedup_lines
@@ -57,7 +58,14 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe, op9_minhash_near_dedup, op10_substring_dedup)}
+def op13_fill_middle(spark, sf_dir):
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_quality_classifier, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe,
+    op9_minhash_near_dedup, op10_substring_dedup, op13_fill_middle,
+)}
 
 ORACLES = {
     "op4_exact_dedup": """
@@ -66,4 +74,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY t)""",
     "op7_mix_sources": MIX_SQL,
+    "op13_fill_middle": FIM_SQL,
 }

@@ -8,6 +8,7 @@ from assaykit.llm.exact_dedup import exact_dedup
 from assaykit.llm.fill_middle import FIM_SQL, fim_digests
 from assaykit.llm.hnsw import nearest, stated_queries
 from assaykit.llm.html_extract import extract_text
+from assaykit.llm.lexical import RANKED_SQL, ranked_search
 from assaykit.llm.line_dedup import dedup_lines
 from assaykit.llm.mixing import MIX_SQL, mix_sources
 from assaykit.llm.near_dedup import near_groups
@@ -58,13 +59,17 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_middle(spark, sf_dir):
     return fim_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_quality_classifier, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe,
-    op9_minhash_near_dedup, op10_substring_dedup, op13_fill_middle,
+    op9_minhash_near_dedup, op10_substring_dedup, op12_ranked_search, op13_fill_middle,
 )}
 
 ORACLES = {
@@ -74,5 +79,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY t)""",
     "op7_mix_sources": MIX_SQL,
+    "op12_ranked_search": RANKED_SQL,
     "op13_fill_middle": FIM_SQL,
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from assaykit.llm.bpe import round_trip_digests
 from assaykit.llm.common import TOKENIZER, table
 from assaykit.llm.exact_dedup import exact_dedup
 from assaykit.llm.fill_middle import FIM_SQL, fim_digests
 from assaykit.llm.hnsw import nearest, stated_queries
 from assaykit.llm.html_extract import extract_text
+from assaykit.llm.language_id import identify
 from assaykit.llm.lexical import RANKED_SQL, ranked_search
 from assaykit.llm.line_dedup import dedup_lines
 from assaykit.llm.mixing import MIX_SQL, mix_sources
@@ -59,6 +62,10 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op12_ranked_search(spark, sf_dir):
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +76,7 @@ def op13_fill_middle(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_quality_classifier, op3_html_extraction, op4_exact_dedup, op5_line_dedup, op6_hnsw_search, op7_mix_sources, op8_bpe,
-    op9_minhash_near_dedup, op10_substring_dedup, op12_ranked_search, op13_fill_middle,
+    op9_minhash_near_dedup, op10_substring_dedup, op11_language_id, op12_ranked_search, op13_fill_middle,
 )}
 
 ORACLES = {

@@ -201,25 +201,20 @@ def scale_numeric(spark, sf):
     return rounded(out, "o_totalprice_scaled", "o_custkey_scaled")
 
 
-def _folds_sql(k: int) -> str:
-    return f"""WITH {sql.LABELS},
-    g AS (SELECT group_id, SUM(label) AS n1, COUNT(*) - SUM(label) AS n0 FROM labels_ GROUP BY 1),
-    f AS (SELECT group_id, CAST((row_number() OVER (ORDER BY n1 DESC, n0 DESC, md5(concat('42|', group_id)), group_id) - 1) % {k} AS INT) AS fold FROM g)
-    SELECT compound_id, group_id, label, fold FROM labels_ JOIN f USING (group_id)"""
-
-
-@query("stratified_group_folds", _folds_sql(5))
+@query(
+    "stratified_group_folds",
+    f"""WITH RECURSIVE {sql.LABELS}, {sql.group_folds("f", "labels_", "group_id", "label", 5)}
+    SELECT compound_id, group_id, label, fold FROM labels_ JOIN f USING (group_id)""",
+)
 def stratified_group_folds(spark, sf):
     return splits.stratified_group_folds(fx.labels(spark, sf), "group_id", "label", splits.fold_count(0.2))
 
 
 @query(
     "stratified_cv_folds",
-    f"""WITH {sql.LABELS},
-    g AS (SELECT group_id, SUM(label) AS n1, COUNT(*) - SUM(label) AS n0 FROM labels_ GROUP BY 1),
-    h AS (SELECT group_id, n1, n0, (row_number() OVER (ORDER BY n1 DESC, n0 DESC, md5(concat('42|', group_id)), group_id) - 1) % 5 AS hold FROM g),
-    f AS (SELECT group_id, CAST((row_number() OVER (ORDER BY n1 DESC, n0 DESC, md5(concat('42|', group_id)), group_id) - 1) % 3 AS INT) AS fold FROM h WHERE hold <> 0)
-    SELECT compound_id, fold FROM labels_ JOIN f USING (group_id)""",
+    f"""WITH RECURSIVE {sql.LABELS}, {sql.group_folds("h", "labels_", "group_id", "label", 5)},
+    train_ AS (SELECT labels_.* FROM labels_ JOIN h USING (group_id) WHERE fold <> 0), {sql.group_folds("f", "train_", "group_id", "label", 3)}
+    SELECT compound_id, fold FROM train_ JOIN f USING (group_id)""",
 )
 def stratified_cv_folds(spark, sf):
     """Three folds inside the training side of the hold-out."""
@@ -230,14 +225,34 @@ def stratified_cv_folds(spark, sf):
 
 @query(
     "group_folds_balanced",
-    f"""WITH {sql.LABELS},
-    g AS (SELECT group_id, row_number() OVER (ORDER BY COUNT(*) DESC, group_id) - 1 AS r FROM labels_ GROUP BY 1)
-    SELECT compound_id, group_id, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM labels_ JOIN g USING (group_id)""",
+    f"""WITH RECURSIVE {sql.LABELS}, {sql.group_folds("f", "labels_", "group_id", "0", 5)}
+    SELECT compound_id, group_id, fold FROM labels_ JOIN f USING (group_id)""",
 )
 def group_folds_balanced(spark, sf):
     return splits.balanced_group_folds(fx.labels(spark, sf), "group_id", 5).drop("label")
 
 
+# One group with half of all rows, seven with most of the others, and many small ones.
+_UNEVEN = """uneven_ AS (
+  SELECT o_orderkey AS compound_id, CAST(o_orderpriority = '1-URGENT' AS INT) AS label,
+    CASE WHEN o_orderkey % 2 = 0 THEN -1 WHEN o_custkey % 97 < 40 THEN o_custkey % 7 ELSE o_custkey END AS grp FROM orders)"""
+
+
+@query(
+    "uneven_group_folds",
+    f"""WITH RECURSIVE {_UNEVEN}, {sql.group_folds("f", "uneven_", "grp", "label", 4)}
+    SELECT compound_id, grp, label, fold FROM uneven_ JOIN f USING (grp)""",
+)
+def uneven_group_folds(spark, sf):
+    """Folds over groups of which one holds half of the rows and seven hold most of the rest."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    grp = F.when(key % 2 == 0, -1).when(customer % 97 < 40, customer % 7).otherwise(customer)
+    rows = fx.table(spark, sf, "orders").select(
+        key.alias("compound_id"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("label"), grp.cast("long").alias("grp")
+    )
+    return splits.stratified_group_folds(rows, "grp", "label", 4)
+
+
 @query(
     "stratified_halves",
     f"""WITH {sql.LABELS}

@@ -95,3 +95,36 @@ numbered AS (SELECT comp, row_number() OVER (ORDER BY n = 1, first) - 1 AS clust
 clustered AS (
   SELECT id AS compound_id, CAST(cluster_id AS BIGINT) AS cluster_id FROM row_comp JOIN numbered USING (comp)),
 cluster_sizes AS (SELECT cluster_id, COUNT(*) AS n FROM clustered GROUP BY 1)"""
+
+
+def group_folds(name: str, source: str, group: str, positives: str, k: int, seed: int = 42) -> str:
+    """CTEs that end in ``name`` (group, fold): the greedy deal of the groups of ``source``; to follow WITH RECURSIVE.
+
+    ``name`` also prefixes the other CTEs. The recursion takes one left-over group a step.
+    """
+    zeros = "[" + ", ".join(["CAST(0 AS HUGEINT)"] * k) + "]"
+    add = lambda list_, n: f"list_transform({list_}, lambda x, j: CASE WHEN j = s.best THEN x + s.{n} ELSE x END)"
+    return f"""
+{name}_g AS MATERIALIZED (SELECT {group}, CAST(SUM({positives}) AS BIGINT) AS n1, CAST(COUNT(*) - SUM({positives}) AS BIGINT) AS n0 FROM {source} GROUP BY 1),
+{name}_p AS (SELECT n1, n0, COUNT(*) AS c FROM {name}_g GROUP BY 1, 2),
+{name}_t AS (SELECT CAST(SUM(n1) AS HUGEINT) AS y1, CAST(SUM(n0) AS HUGEINT) AS y0 FROM {name}_g),
+{name}_r AS MATERIALIZED (
+  SELECT n1, n0, seat, row_number() OVER (ORDER BY n1 + n0 DESC, n1 DESC, seat) AS i FROM (SELECT n1, n0, unnest(range(c % {k})) AS seat FROM {name}_p)),
+{name}_d AS (
+  SELECT CAST(0 AS BIGINT) AS i, {zeros} AS a, {zeros} AS b, CAST(0 AS BIGINT) AS f
+  UNION ALL
+  SELECT s.i, {add("s.a", "n1")}, {add("s.b", "n0")}, s.best
+  FROM (
+    SELECT r.i, r.n1, r.n0, d.a, d.b, list_sort(list_transform(range(1, {k + 1}), lambda j: {{'c': d.a[j] * r.n1 * t.y0 * t.y0 + d.b[j] * r.n0 * t.y1 * t.y1, 'n': d.a[j] + d.b[j], 'j': j}}))[1].j AS best
+    FROM {name}_d d JOIN {name}_r r ON r.i = d.i + 1, {name}_t t) s),
+{name}_x AS (
+  SELECT g.{group}, g.n1 + g.n0 AS n, c % {k} AS rest,
+    row_number() OVER (PARTITION BY g.n1, g.n0 ORDER BY md5(concat('{seed}|', {group})), {group}) - 1 AS j, g.n1, g.n0
+  FROM {name}_g g JOIN {name}_p p ON p.n1 = g.n1 AND p.n0 = g.n0),
+{name}_y AS (
+  SELECT {group}, n, CASE WHEN j < rest THEN d.f - 1 ELSE (j - rest) % {k} END AS f
+  FROM {name}_x x LEFT JOIN {name}_r r ON r.n1 = x.n1 AND r.n0 = x.n0 AND r.seat = x.j LEFT JOIN {name}_d d ON d.i = r.i),
+{name}_z AS (
+  SELECT f, row_number() OVER (ORDER BY abs({k} * COALESCE(m, 0) - (SELECT SUM(n) FROM {name}_y)), md5(concat('{seed}|', f))) - 1 AS fold
+  FROM (SELECT unnest(range({k})) AS f) LEFT JOIN (SELECT f, SUM(n) AS m FROM {name}_y GROUP BY 1) USING (f)),
+{name} AS (SELECT {group}, CAST(fold AS INT) AS fold FROM {name}_y JOIN {name}_z USING (f))"""

@@ -9,6 +9,7 @@ from assaykit import session
 from assaykit.operators import metrics, models, ordered, profile, scoring, similarity, splits
 from assaykit.plans import experiment as ex
 from assaykit.plans import fixtures as fx
+from assaykit.plans.catalog import ORACLES, QUERIES
 from assaykit.sources import tables as src
 from assaykit.streaming import jobs
 
@@ -101,6 +102,6 @@ def test_no_quadratic_join_and_no_single_task_window_over_rows(spark, small, bui
 
 
 def test_queries_follow_the_naming_rules():
-    names = entry.queries()
-    assert len(names) > 80
-    assert not [n for n in names if n == "pipeline" or re.match(r"op\d+_", n)]
+    assert len(QUERIES) > 80 and set(QUERIES) <= set(entry.queries())
+    assert not [n for n in QUERIES if n == "pipeline" or re.match(r"op\d+_", n)]
+    assert set(ORACLES) <= set(QUERIES)

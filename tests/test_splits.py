@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+from fractions import Fraction
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -11,14 +15,66 @@ def labels(spark, small):
     return fx.labels(spark, small).cache()
 
 
+def plain_greedy(groups, k):
+    """Rows of (positives, negatives) per fold, one left-over group at a time, straight from the rule."""
+    y1, y0 = (sum(g[i] for g in groups) for i in (0, 1))
+    load = [[0, 0] for _ in range(k)]
+    even = [0, 0]
+    for (a, b), c in sorted(Counter(groups).items(), key=lambda g: (-sum(g[0]), -g[0][0])):
+        even = [even[0] + a * (c // k), even[1] + b * (c // k)]
+        for _ in range(c % k):
+            f = min(range(k), key=lambda i: (Fraction(load[i][0] * a, max(y1, 1) ** 2) + Fraction(load[i][1] * b, max(y0, 1) ** 2), sum(load[i])))
+            load[f] = [load[f][0] + a, load[f][1] + b]
+    return sorted((a + even[0], b + even[1]) for a, b in load)
+
+
+def loads(out, k):
+    got = {r["fold"]: (r["p"], r["n"] - r["p"]) for r in out.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
+    return [got.get(f, (0, 0)) for f in range(k)]
+
+
 def test_groups_stay_whole_and_folds_are_even(labels):
     out = splits.stratified_group_folds(labels, "group_id", "label", 5).cache()
     assert out.count() == labels.count()
     assert out.groupBy("group_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
-    sizes = [r["n"] for r in out.groupBy("fold").agg(F.countDistinct("group_id").alias("n")).collect()]
-    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
-    share = [r["s"] for r in out.groupBy("fold").agg(F.avg("label").alias("s")).collect()]
-    assert max(share) - min(share) < 0.1
+    got = loads(out, 5)
+    rows = [a + b for a, b in got]
+    assert max(rows) - min(rows) <= 0.02 * sum(rows) and max(a for a, _ in got) - min(a for a, _ in got) <= 2
+    groups = labels.groupBy("group_id").agg(F.sum("label").alias("a"), F.count("*").alias("n")).collect()
+    assert sorted(got) == plain_greedy([(r["a"], r["n"] - r["a"]) for r in groups], 5)
+
+
+@pytest.mark.parametrize("per_block", [50_000, 50])
+def test_heavy_tailed_groups(spark, monkeypatch, per_block):
+    """Sizes as 1 / rank: the largest group alone is more than a fold, the others are evened out."""
+    monkeypatch.setattr(splits, "PROFILES_PER_BLOCK", per_block)
+    rng = random.Random(1)
+    groups = [(rng.randrange(size // 2 + 1), size) for size in (max(1, 4000 // (r + 1)) for r in range(500))]
+    rows = [(g, int(i < a)) for g, (a, n) in enumerate(groups) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, label int").repartition(6)
+    out = splits.stratified_group_folds(df, "g", "label", 5)
+    got = loads(out, 5)
+    assert sorted(got) == plain_greedy([(a, n - a) for a, n in groups], 5)
+    share = [(a + b) / len(rows) for a, b in got]
+    assert abs(share[0] - 0.2) < 0.02  # the hold-out has the size asked for
+    assert out.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+
+
+def test_balanced_folds_are_as_even_as_the_largest_first_rule(spark):
+    sizes = [900, 400, 350, 300, 120, 60, 60, 60, *[7] * 50, *[1] * 33]
+    df = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g int").withColumn("label", F.lit(0))
+    got = loads(splits.balanced_group_folds(df, "g", 4), 4)
+    assert sorted(n for _, n in got) == [n for _, n in plain_greedy([(0, n) for n in sizes], 4)]
+
+
+def test_folds_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "g int, label int")
+    assert splits.stratified_group_folds(empty, "g", "label", 3).count() == 0
+    few = spark.createDataFrame([(1, 1), (1, None), (2, None)], "g int, label int")
+    out = splits.stratified_group_folds(few, "g", "label", 5)
+    assert out.count() == 3 and out.select("fold").distinct().count() == 2
+    with pytest.raises(ValueError):
+        splits.stratified_group_folds(few, "g", "label", 1)
 
 
 def test_same_seed_same_split_other_seed_other_split(labels):

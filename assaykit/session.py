@@ -60,6 +60,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that no later plan reads."""
+    spark = table.sparkSession
+    own = f"assaykit-{spark.sparkContext.applicationId}/"
+    folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+    for folder in folders:
+        if own not in folder:
+            raise ValueError(f"{folder} is not an intermediate table of this application")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after the row count was seen to be within ``max_rows``.
 

@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -105,3 +106,13 @@ def test_queries_follow_the_naming_rules():
     assert len(QUERIES) > 80 and set(QUERIES) <= set(entry.queries())
     assert not [n for n in QUERIES if n == "pipeline" or re.match(r"op\d+_", n)]
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_discard_deletes_intermediate_tables_only(spark, small):
+    table = session.materialize(spark.range(10), "gone")
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file://").replace("file:", "")
+    assert os.path.isdir(folder)
+    session.discard(table)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError):
+        session.discard(spark.read.parquet(f"{small}/orders.parquet"))

@@ -233,10 +233,11 @@ def _search_shard(k: int):
             for d in range(q.shape[1]):  # one order of summation, whatever the shape
                 score += q[:, d : d + 1] * vectors[found, d]
             score[found < 0] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            nodes, score = np.take_along_axis(found, top, 1), np.take_along_axis(score, top, 1)
-            for query, some, values in zip(query_ids[a : a + _BLOCK], nodes, score):
-                some, values = some[some >= 0], values[some >= 0]
+            for query, some, values in zip(query_ids[a : a + _BLOCK], found, score):
+                # nodes as good as the last that can be needed stay until the ids have decided
+                least = np.partition(values, -k - 1)[-k - 1] if len(values) > k else -np.inf
+                held = (some >= 0) & (values >= least)
+                some, values = some[held], values[held]
                 vec = np.concatenate([ids[ends[i] - n_ids[i] : ends[i]] for i in some])
                 values = np.repeat(values, n_ids[some])
                 other = vec != query

@@ -76,3 +76,16 @@ def test_whole_table(spark, small):
     assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / len(want[q]) for q in want]) > 0.95
     for q in want:
         assert all(got[q][i] == s for i, s in want[q] if i in got[q])
+
+
+def test_equal_scores_go_by_the_smaller_id(spark):
+    """400 different vectors with one inner product: all that were found are ordered by id before the cut."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, float(x), float(y)]) for i, (x, y) in enumerate(rng.standard_normal((400, 2)))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    query = spark.createDataFrame([(1000, [1.0, 0.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = hnsw.nearest(table, query, 20).orderBy("rank").collect()
+    ids = [r.vec_id for r in got]
+    assert len(got) == 20 and {r.score for r in got} == {1.0} and ids == sorted(ids)
+    wider = [r.vec_id for r in hnsw.nearest(table, query, 40).orderBy("rank").collect()]
+    assert wider[:20] == ids

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import pick
-from assaykit.session import broadcast_if_small, materialize
+from assaykit.session import broadcast_if_small, discard, materialize
 
 SMALL_GROUP = 64  # lines that may meet all others of their group at once
 MOST_SENT = 250_000  # rows of a table that may be broadcast, counted first
@@ -112,9 +112,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     profile = materialize(profile, "lines")
     equal = profile.groupBy("n", "s1", "s2").agg(F.min(_order()).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines")
     marked = profile.join(materialize(equal, "equal"), ["n", "s1", "s2"], "left").withColumn("again", F.coalesce(_order() > F.col("first"), F.lit(False)))
-    copies = marked.where("again").select("doc_id", "row_hash", "line_no")
-    reps = marked.where("not again").drop("again", "first", "s1", "s2").dropDuplicates(["doc_id", "row_hash", "line_no"])
-    reps = materialize(reps.withColumn("lid", F.monotonically_increasing_id()), "reps")
+    # lines that come again need no prefix, and those that stay no hashes: each is written once
+    split = marked.withColumns({"prefix": F.when(~F.col("again"), F.col("prefix")), "lid": F.monotonically_increasing_id()}).drop("first", "s1", "s2")
+    split = materialize(split.dropDuplicates(["doc_id", "row_hash", "line_no"]), "split")
+    discard(profile)
+    copies = split.where("again").select("doc_id", "row_hash", "line_no")
+    reps = split.where("not again").drop("again")
 
     # few and narrow columns, as this is the largest exchange; size and place share one
     placed = reps.select("lid", "n", "sig0", "sig1", F.posexplode("prefix").alias("i", "key"))

@@ -26,7 +26,7 @@ from assaykit.llm.common import pick
 
 # Fixed values of the byte-level format: the pattern that splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_CACHED = 400_000
+MOST_CACHED = 150_000  # results of each kind in a worker, about 25 MB
 _BLOCK = 50_000  # pieces of a text that are held at once
 
 

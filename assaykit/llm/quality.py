@@ -11,8 +11,6 @@ size, and the pool is every unlabelled document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -20,7 +18,7 @@ from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from assaykit.llm.common import pick
 from assaykit.llm.wordhash import Words, slices
@@ -51,31 +49,30 @@ def text_features(w: Words) -> np.ndarray:
     return np.concatenate([kinds / np.maximum(size, 1)[:, None], np.stack(more, axis=1)], axis=1)
 
 
-def _add_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, w in slices(batch.column("text_")):
-            flat = text_features(w)
-            column = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * N_FEATURES, pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], [*batch.schema.names, "t_array"])
+@F.arrow_udf(ArrayType(DoubleType()))
+def _text_array(text: pa.Array) -> pa.Array:
+    flat = [text_features(w).ravel() for _, _, w in slices(text)]
+    values = np.concatenate([np.zeros(0), *flat])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * N_FEATURES, pa.int32()), pa.array(values))
 
 
-def _featured(rows: DataFrame) -> DataFrame:
-    """``rows`` (with text_, m_lang, m_source, m_size) with the vector of each view."""
-    schema = StructType(list(rows.schema.fields)).add("t_array", ArrayType(DoubleType()))
-    with_text = rows.mapInArrow(_add_features, schema).withColumn("t_features", array_to_vector("t_array")).drop("t_array")
+def _featured(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` (with m_lang, m_source, m_size) with the vector of each view; only ``text`` goes through Python."""
+    with_text = rows.withColumn("t_features", array_to_vector(_text_array(text)))
     return FeatureHasher(inputCols=_META, outputCol="m_features", numFeatures=256).transform(with_text)
 
 
-def _views(docs: DataFrame, at: dict[str, Column]) -> dict[str, Column]:
+def _views(at: dict[str, Column]) -> dict[str, Column]:
     size = F.log1p(F.greatest(F.coalesce(at["n_chars"].cast("double"), F.lit(0.0)), F.lit(0.0)))
-    return {"text_": F.coalesce(at["text"], F.lit("")), "m_lang": at["lang"].cast("string"), "m_source": at["source"].cast("string"), "m_size": size}
+    return {"m_lang": at["lang"].cast("string"), "m_source": at["source"].cast("string"), "m_size": size}
 
 
-def _columns(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """``docs`` by position, and its columns by exact name; metadata that is not there is null."""
+def _columns(docs: DataFrame) -> tuple[DataFrame, dict[str, Column], str]:
+    """``docs`` by position, its columns by exact name, and the name of the text's; metadata that is not there is null."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     names = ("doc_id", "text", "lang", "source", "n_chars")
-    return plain, {n: F.col(f"c{docs.columns.index(n)}") if n in docs.columns else F.lit(None) for n in names}
+    at = {n: F.col(f"c{docs.columns.index(n)}") if n in docs.columns else F.lit(None) for n in names}
+    return plain, at, f"c{docs.columns.index('text')}"
 
 
 def _logit(p: Column) -> Column:
@@ -118,10 +115,10 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """
     known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
     known = materialize(known.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")), "known")
-    plain, at = _columns(docs)
-    rows = plain.select(at["doc_id"].alias("doc_id"), *[c.alias(n) for n, c in _views(docs, at).items()]).where("doc_id is not null")
+    plain, at, text = _columns(docs)
+    rows = plain.select(at["doc_id"].alias("doc_id"), text, *[c.alias(n) for n, c in _views(at).items()]).where("doc_id is not null")
     # features come before the join, so that no text is shuffled if it isn't a broadcast
-    rows = _featured(rows).select("doc_id", "t_features", "m_features")
+    rows = _featured(rows, text).select("doc_id", "t_features", "m_features")
     rows = rows.join(broadcast_if_small(known), "doc_id", "left").where("y is null or y = z")
     rows = materialize(rows.select("doc_id", F.col("y").cast("double").alias("y"), "t_features", "m_features"), "featured")
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0
@@ -157,11 +154,11 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
 
 
 def _judged(docs: DataFrame, model: QualityModel | None) -> tuple[DataFrame, dict[str, Column]]:
-    plain, at = _columns(docs)
+    plain, at, text = _columns(docs)
     if model is None:
         one = F.lit(1.0)
         return plain.withColumns({"text_score": one, "meta_score": one, "score": one}), at
-    return model.score(_featured(plain.withColumns(_views(docs, at)))), at
+    return model.score(_featured(plain.withColumns(_views(at)), text)), at
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
+from dataclasses import asdict
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
@@ -18,6 +20,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.operators.boosting import BoostingSettings, HistogramBoosting
+
 FEATURES, LABEL, WEIGHT = "features", "__label", "__weight"
 
 # Weight of the positive class for the two boosted kinds that do not balance.
@@ -36,6 +40,18 @@ DEFAULTS = {
 _IGNORED = {"n_jobs", "thread_count", "verbose", "solver"}
 # Settings that the weight column honours.
 _WEIGHTS = {"class_weight", "scale_pos_weight"}
+# Settings that Spark's boosted trees lack; one of them asks for the histogram booster.
+_REGULARISED = {
+    "num_leaves": "leaves", "reg_lambda": "l2", "l2_leaf_reg": "l2", "reg_alpha": "l1", "gamma": "min_gain", "min_split_gain": "min_gain",
+    "min_child_weight": "min_hessian", "min_child_samples": "min_rows", "subsample": "row_share", "colsample_bytree": "column_share",
+    "random_strength": "noise", "max_bin": "bins",
+}
+# How the three boosted kinds grow and penalise unless told otherwise.
+_BOOSTED_DEFAULTS = {
+    "lightgbm": {"leaves": 31, "depth": None, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20},
+    "xgboost": {"leaves": None, "depth": 6, "l2": 1.0, "min_hessian": 1.0, "min_rows": 1},
+    "catboost": {"leaves": None, "depth": 6, "l2": 3.0, "min_hessian": 0.0, "min_rows": 1},
+}
 _ALIASES = {"depth": "max_depth", "iterations": "n_estimators"}
 # Spark trees stop at this depth: an unset depth of a forest means it, a greater one is an error.
 MAX_TREE_DEPTH = 30
@@ -135,8 +151,8 @@ class ProbabilityThreshold(Transformer, DefaultParamsReadable, DefaultParamsWrit
 
 
 def make_classifier(name: str, params: dict | None = None, on_unsupported: str = "error") -> Estimator:
-    """Classifier by name. Parameters without a Spark counterpart raise, or are left out with
-    ``on_unsupported='ignore'``. A penalty other than l1 and l2, or a depth that Spark's trees can't
+    """Classifier by name. A boosted kind with leaves, penalties, sampling or noise set is the histogram
+    booster, otherwise Spark's. Parameters that neither has raise, or are left out with ``on_unsupported='ignore'``. A penalty other than l1 and l2, or a depth that Spark's trees can't
     have, always raises. A depth that is not set is ``MAX_TREE_DEPTH`` in a forest and 5 in boosted trees."""
     if name not in MODEL_NAMES:
         raise ValueError(f"model {name!r} not recognized; use one of {MODEL_NAMES}")
@@ -161,6 +177,11 @@ def make_classifier(name: str, params: dict | None = None, on_unsupported: str =
             featureSubsetStrategy=str(p["max_features"] or "all"),
             **common,
         )
+    elif set(p) & set(_REGULARISED) or p.get("max_depth", 0) is None:
+        taken = {"n_estimators", "learning_rate", "max_depth", *_REGULARISED}
+        model = HistogramBoosting(
+            settings=json.dumps(asdict(boosting_settings(name, p, seed))), featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT
+        )
     else:
         taken = {"n_estimators", "learning_rate", "max_depth"}
         model = GBTClassifier(
@@ -172,6 +193,14 @@ def make_classifier(name: str, params: dict | None = None, on_unsupported: str =
     return model
 
 
+def boosting_settings(name: str, params: dict, seed: int = 42) -> BoostingSettings:
+    """Settings of the histogram booster for one of the named kinds; unset ones have that kind's defaults."""
+    fixed = _BOOSTED_DEFAULTS[name]
+    given = {_REGULARISED[k]: v for k, v in params.items() if k in _REGULARISED and v is not None}
+    depth = params.get("max_depth") if "max_depth" in params else fixed["depth"]
+    return BoostingSettings(**{**fixed, **given, "trees": params["n_estimators"], "rate": params["learning_rate"], "depth": depth, "seed": seed})
+
+
 def weighting_for(name: str, label: str, params: dict | None = None) -> ClassWeighter:
     """Default weights of a model, or those that ``class_weight`` or ``scale_pos_weight`` ask for."""
     given = params or {}

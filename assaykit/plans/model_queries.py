@@ -16,7 +16,7 @@ from assaykit.operators import adversarial, ensemble, features, models, scoring,
 from assaykit.plans import experiment as ex
 from assaykit.plans import fixtures as fx
 from assaykit.plans import sql
-from assaykit.plans.catalog import query
+from assaykit.plans.catalog import query, rounded
 from assaykit.session import materialize, scratch_path
 from assaykit.streaming import jobs
 
@@ -68,6 +68,37 @@ def train_boosted(spark, sf):
     return _predictions(spark, sf, model_name="xgboost", model_params=TREES)
 
 
+_STEP = """WITH x AS (
+    SELECT o_orderkey AS compound_id, CAST(o_orderpriority = '1-URGENT' AS INT) AS y, CASE WHEN o_orderpriority = '1-URGENT' THEN 12.0 ELSE 1.0 END AS w,
+      [CAST(o_orderstatus = 'F' AS INT), CAST(o_totalprice > 150000 AS INT), CAST(o_custkey % 3 = 0 AS INT), CAST(o_orderkey % 7 = 0 AS INT)] AS f FROM orders),
+  t AS (SELECT SUM(w * y) / SUM(w) AS p FROM x),
+  gh AS (SELECT x.*, w * (p - y) AS g, w * p * (1 - p) AS h, ln(p / (1 - p)) AS base FROM x, t),
+  s AS (SELECT j, SUM(g) FILTER (f[j] = 0) AS g0, SUM(h) FILTER (f[j] = 0) AS h0, SUM(g) FILTER (f[j] = 1) AS g1, SUM(h) FILTER (f[j] = 1) AS h1
+    FROM gh, (SELECT unnest([1, 2, 3, 4]) AS j) GROUP BY j),
+  b AS (SELECT * FROM s ORDER BY g0 * g0 / (h0 + 1.5) + g1 * g1 / (h1 + 1.5) DESC, j LIMIT 1)
+  SELECT compound_id, ROUND(1 / (1 + exp(-(base - 0.3 * CASE WHEN f[j] = 0 THEN g0 / (h0 + 1.5) ELSE g1 / (h1 + 1.5) END))), 6) AS prob FROM gh, b"""
+
+
+@query("boosted_step", _STEP)
+def boosted_step(spark, sf):
+    """One boosted tree with one split over binary features, which SQL can say in closed form."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    flags = [F.col("o_orderstatus") == "F", F.col("o_totalprice") > 150000, F.col("o_custkey") % 3 == 0, F.col("o_orderkey") % 7 == 0]
+    rows = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("compound_id"), urgent.cast("int").alias("label"), array_to_vector(F.array(*[f.cast("double") for f in flags])).alias(models.FEATURES)
+    )
+    params = {"n_estimators": 1, "learning_rate": 0.3, "max_depth": 1, "reg_lambda": 1.5}
+    model = Pipeline(stages=models.classifier_stages("xgboost", "label", params)).fit(rows)
+    return rounded(model.transform(rows).select("compound_id", "prob"), "prob")
+
+
+@query("train_boosted_leaves")
+def train_boosted_leaves(spark, sf):
+    """Best-first trees with penalties on both kinds of fingerprints."""
+    params = {"n_estimators": 5, "num_leaves": 31, "reg_lambda": 1.0, "reg_alpha": 0.1, "learning_rate": 0.1}
+    return _predictions(spark, sf, model_name="lightgbm", model_params=params)
+
+
 @query("end_to_end_scores")
 def end_to_end_scores(spark, sf):
     """Parse, reduce, scale and classify as one fitted pipeline, scored on the held-out groups."""

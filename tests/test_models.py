@@ -1,3 +1,4 @@
+import json
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,13 +98,16 @@ def test_saved_model_scores_the_same_and_knows_its_threshold(spark, table, tmp_p
     assert all(0 <= r["prob"] <= 1 and r["predicted"] == int(r["prob"] >= 0.7) for r in first)
 
 
-def test_model_factory_errors():
+def test_model_factory_errors(spark):
     with pytest.raises(ValueError, match="not recognized"):
         models.make_classifier("svm")
-    with pytest.raises(ValueError, match="num_leaves"):
-        models.make_classifier("lightgbm", {"num_leaves": 31})
+    with pytest.raises(ValueError, match="boosting_type"):
+        models.make_classifier("lightgbm", {"num_leaves": 31, "boosting_type": "dart"})
     tuned = models.make_classifier("catboost", {"depth": 10, "l2_leaf_reg": 1.3, "learning_rate": 0.2}, "ignore")
-    assert tuned.getMaxDepth() == 10 and tuned.getStepSize() == 0.2
+    settings = json.loads(tuned.getOrDefault(tuned.settings))
+    assert settings["depth"] == 10 and settings["rate"] == 0.2
+    plain = models.make_classifier("catboost", {"depth": 10, "learning_rate": 0.2})
+    assert plain.getMaxDepth() == 10 and plain.getStepSize() == 0.2
 
 
 def test_weights_need_both_classes(spark):

@@ -26,7 +26,7 @@ from assaykit.llm.common import pick
 
 # Fixed values of the byte-level format: the pattern that splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_CACHED = 150_000  # results of each kind in a worker, about 25 MB
+MOST_CACHED = 400_000  # results of each kind in a worker, about 70 MB
 _BLOCK = 50_000  # pieces of a text that are held at once
 
 
@@ -40,7 +40,8 @@ def _byte_of() -> dict[str, int]:
 class Codec:
     """Tables of one byte-level BPE vocabulary file, and the pieces seen so far."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, most_cached: int = MOST_CACHED):
+        self.most_cached = most_cached
         spec = json.loads(raw)
         model, byte_of = spec["model"], _byte_of()
         as_bytes = lambda token: bytes(byte_of[c] for c in token)
@@ -64,7 +65,7 @@ class Codec:
         self.pattern = regex.compile(PIECES)
         self.splitter = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.fragments: dict[bytes, bytes] = {}
-        self.pieces = _Lookup(self._piece)
+        self.pieces = _Lookup(self._piece, most_cached)
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -81,7 +82,7 @@ class Codec:
             ids = self._merged([self.single[b] for b in raw])
             found = pack(f"<{len(ids)}I", *ids)
             if len(raw) <= 64:
-                if len(self.fragments) >= MOST_CACHED:
+                if len(self.fragments) >= self.most_cached:
                     self.fragments.clear()
                 self.fragments[raw] = found
         return found
@@ -141,27 +142,27 @@ class Codec:
 class _Lookup(dict):
     """Results by argument, begun anew when full; long arguments are not kept."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= MOST_CACHED:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(raw: bytes) -> Codec:
+def codec(raw: bytes, most_cached: int = MOST_CACHED) -> Codec:
     """One codec for each vocabulary and Python worker."""
-    name = hashlib.sha256(raw).hexdigest()
+    name = hashlib.sha256(raw).hexdigest(), most_cached
     if name not in _CODECS:
-        _CODECS[name] = Codec(raw)
+        _CODECS[name] = Codec(raw, most_cached)
     return _CODECS[name]
 
 
@@ -171,16 +172,17 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, most_cached: int = MOST_CACHED) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids`` (array of int) of each whole text.
 
-    Null and empty texts have no ids. ``path`` names the vocabulary file. A column of ``docs`` with
+    Null and empty texts have no ids. ``path`` names the vocabulary file, ``most_cached`` bounds the results
+    that a worker keeps of either kind, which other stages find taken when workers are reused. A column of ``docs`` with
     one of the two names is replaced; other columns stay as they are.
     """
     vocabulary = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = codec(vocabulary.value)
+        tables = codec(vocabulary.value, most_cached)
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             for i in range(0, batch.num_rows, 256):

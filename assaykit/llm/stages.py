@@ -30,4 +30,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pick(encode_documents(docs, TOKENIZER), "doc_id", "lang", "source", "n_tokens", "ids")
+    """Token ids; small caches, as the Python workers serve the other stages too. Other columns are left out."""
+    return pick(encode_documents(docs, TOKENIZER, 150_000), "doc_id", "lang", "source", "n_tokens", "ids")

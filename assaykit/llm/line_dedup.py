@@ -28,11 +28,11 @@ LENGTHS, CELLS = 16, 8192  # word lengths, and cells of each, in the table of co
 _OTHER_SPACE = ("\t", "\x0b", "\f", "\r")
 
 
-def _words(text: Column, separators: str = r"[\t\x0B\f\r]") -> Column:
+def _words(text: Column) -> Column:
     odd = text.contains(_OTHER_SPACE[0])
     for c in _OTHER_SPACE[1:]:
         odd = odd | text.contains(c)
-    return F.split(F.when(odd, F.regexp_replace(text, separators, " ")).otherwise(text), " ")
+    return F.split(F.when(odd, F.translate(text, "".join(_OTHER_SPACE), " " * len(_OTHER_SPACE))).otherwise(text), " ")
 
 
 def _cell(length: Column, hashed: Column) -> Column:
@@ -41,7 +41,8 @@ def _cell(length: Column, hashed: Column) -> Column:
 
 def _rarity(docs: DataFrame) -> Column:
     """Constant array: class of each cell, growing with the log of its count. One row per cell is collected."""
-    words = docs.select(F.explode(_words(F.regexp_replace("text", "\n", " "))).alias("w")).where("w != ''")
+    # the outer form, as Spark would split every text once more to drop empty arrays before the other
+    words = docs.select(F.explode_outer(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
     counts = words.groupBy(_cell(F.length("w"), F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
     classes = [0] * (LENGTHS * CELLS)
     for cell, level in counts.select("cell", F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(63))).collect():
@@ -64,9 +65,17 @@ def _signature(tokens: Column, half: int) -> Column:
     return F.aggregate(tokens, F.expr("0L"), lambda s, t: s.bitwiseOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    rows = pick(docs, "doc_id", "text").where("text is not null")
-    return rows.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, text) of the different rows with text."""
+    rows = pick(docs, "doc_id", "text").where("text is not null").withColumn("row_hash", F.xxhash64("text"))
+    again = rows.groupBy(F.col("doc_id").alias("a_id"), F.col("row_hash").alias("a_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = broadcast_if_small(materialize(again, "again"), MOST_SENT)
+    same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("row_hash") == F.col("a_hash"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "row_hash"]))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "row_hash", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _order() -> Column:
@@ -74,73 +83,97 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_hash").alias("c"), F.col("line_no").alias("d"))
 
 
+# The first word that two lines share has all their common words from its place on, in both lines.
 _MAY_MATCH = """
   5 * least(n, o_n) >= 4 * greatest(n, o_n)
-  and 9 * (least(i, o_i) + 1 + least(n - i, o_n - o_i) - 1) >= 4 * (n + o_n)
+  and 9 * least(n - i, o_n - o_i) >= 4 * (n + o_n)
   and 9 * (bit_count(sig0 ^ o_sig0) + bit_count(sig1 ^ o_sig1)) <= n + o_n"""
+_ONCE = "not (done and o_done) and (n < o_n or (n = o_n and lid < o_lid))"
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
-    """The later line (lid) of each pair whose whole sets are similar."""
+def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """The later line (lid) of each pair whose whole sets of words are similar."""
     wanted = pairs.select(F.explode(F.array("lid", "o_lid")).alias("lid")).distinct()
-    spots = reps.join(wanted, "lid").groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("line_no", "lid")).alias("spots"))
+    at = F.struct("line_no", "lid", "n")
+    spots = reps.join(wanted, "lid").groupBy("doc_id", "row_hash").agg(F.collect_list(at).alias("spots"))
     spots = materialize(spots, "spots").select(F.col("doc_id").alias("s_id"), F.col("row_hash").alias("s_hash"), "spots")
-    rows = pick(docs, "doc_id", "text").where("text is not null").withColumn("row_hash", F.xxhash64("text"))
     found = rows.join(broadcast_if_small(spots, MOST_SENT), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_hash") == F.col("s_hash")))
-    lines = found.withColumn("all", F.split("text", "\n")).select("doc_id", "row_hash", "all", F.explode("spots").alias("s"))
-    sets = lines.select(
-        F.col("s.lid").alias("lid"), F.struct("doc_id", "row_hash", F.col("s.line_no").alias("line_no")).alias("at"),
-        _token_set(F.get("all", F.col("s.line_no")), rarity).alias("tokens"),
-    ).dropDuplicates(["lid"])
-    sets = materialize(sets.withColumn("ord", F.struct(F.col("at.doc_id").isNull().alias("a"), "at.doc_id", "at.row_hash", "at.line_no")).drop("at"), "sets")
-    other = sets.select(F.col("lid").alias("o_lid"), F.col("tokens").alias("o_tokens"), F.col("ord").alias("o_ord"))
-    both = pairs.join(sets, "lid").join(other, "o_lid")
-    common = F.size(F.array_intersect("tokens", "o_tokens"))
-    similar = both.where(9 * common >= 4 * (F.size("tokens") + F.size("o_tokens")))
+    cut = found.select("doc_id", "row_hash", F.split("text", "\n").alias("all"), "spots")
+    # a line goes with its own text, which packs better than hashes of its words
+    spot = cut.select("doc_id", "row_hash", F.inline(F.transform("spots", lambda s: F.struct(s.lid.alias("lid"), s.n.alias("n"), s.line_no.alias("line_no"), F.get("all", s.line_no).alias("line")))))
+    lines = materialize(spot.select("lid", "n", "line", F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row_hash", "line_no").alias("ord")), "texts")
+    other = lines.select(*[F.col(c).alias(f"o_{c}") for c in lines.columns])
+    both = pairs.join(lines, "lid").join(other, "o_lid")
+    common = F.size(F.array_intersect(F.array_remove(_words(F.col("line")), ""), F.array_remove(_words(F.col("o_line")), "")))
+    similar = both.where(9 * common >= 4 * (F.col("n") + F.col("o_n")))
     return similar.select(F.when(F.col("ord") > F.col("o_ord"), F.col("lid")).otherwise(F.col("o_lid")).alias("lid")).distinct()
 
 
+def _placed(reps: DataFrame) -> DataFrame:
+    """One row per prefix word; few and narrow columns, as this is the largest exchange: size, place and done share one."""
+    words = reps.select("lid", "n", "sig0", "sig1", "done", F.posexplode_outer("prefix").alias("i", "key"))
+    packed = "shiftleft(cast(n as bigint), 32) | shiftleft(cast(i as bigint), 1) | if(done, 1L, 0L)"
+    return words.select("key", "lid", F.expr(packed).alias("size_at"), "sig0", "sig1")
+
+
+_UNPACKED = {"n": "cast(size_at >> 32 as int)", "i": "cast((size_at & 4294967295) >> 1 as int)", "done": "((size_at & 1) = 1)"}
+_UNPACKED |= {f"o_{c}": e.replace("size_at", "o_size_at") for c, e in _UNPACKED.items()}
+
+
+def _of_packed(condition: str) -> str:
+    return re.sub(r"\b(o_n|o_i|o_done|n|i|done)\b", lambda m: _UNPACKED[m[1]], condition)
+
+
+def _other(placed: DataFrame) -> DataFrame:
+    return placed.select("key", *[F.col(c).alias(f"o_{c}") for c in placed.columns if c != "key"])
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, lines): numbers of the lines of each row that match an earlier line."""
+    rows = _rows(docs)
     rarity = _rarity(pick(docs, "doc_id", "text"))
-    tokens = _lines(docs).select("doc_id", "row_hash", "line_no", _token_set(F.col("line"), rarity).alias("tokens")).where(F.size("tokens") > 0)
-    n = F.size("tokens")
+    tokens = _lines(rows).select("doc_id", "row_hash", "line_no", _token_set(F.col("line"), rarity).alias("tokens"))
     profile = tokens.select(
-        "doc_id", "row_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), "tokens").alias("s2"),
+        "doc_id", "row_hash", "line_no", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), "tokens").alias("s2"),
         _signature(F.col("tokens"), 0).alias("sig0"), _signature(F.col("tokens"), 1).alias("sig1"),
         F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)").alias("prefix"),
     )
-    profile = materialize(profile, "lines")
-    equal = profile.groupBy("n", "s1", "s2").agg(F.min(_order()).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines")
-    marked = profile.join(materialize(equal, "equal"), ["n", "s1", "s2"], "left").withColumn("again", F.coalesce(_order() > F.col("first"), F.lit(False)))
+    # lines without words are left out on reading: a condition before that would make every set twice
+    written = materialize(profile, "lines")
+    profile = written.where("n > 0")
+    # one hash finds the sets that may come again, so that only their lines are grouped by all of it
+    twice = materialize(profile.groupBy("s1").agg(F.count("*").alias("n_lines")).where("n_lines > 1").select("s1"), "twice")
+    some = profile.join(broadcast_if_small(twice, MOST_SENT), "s1", "left_semi")
+    equal = some.groupBy("n", "s1", "s2").agg(F.min(_order()).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines")
+    equal = broadcast_if_small(materialize(equal, "equal"), MOST_SENT)
+    marked = profile.join(equal, ["n", "s1", "s2"], "left").withColumn("again", F.coalesce(_order() > F.col("first"), F.lit(False)))
     # lines that come again need no prefix, and those that stay no hashes: each is written once
     split = marked.withColumns({"prefix": F.when(~F.col("again"), F.col("prefix")), "lid": F.monotonically_increasing_id()}).drop("first", "s1", "s2")
-    split = materialize(split.dropDuplicates(["doc_id", "row_hash", "line_no"]), "split")
-    discard(profile)
+    split = materialize(split, "split")
+    discard(written)
     copies = split.where("again").select("doc_id", "row_hash", "line_no")
-    reps = split.where("not again").drop("again")
-
-    # few and narrow columns, as this is the largest exchange; size and place share one
-    placed = reps.select("lid", "n", "sig0", "sig1", F.posexplode("prefix").alias("i", "key"))
-    placed = placed.select("key", "lid", F.expr("shiftleft(cast(n as bigint), 32) | i").alias("size_at"), "sig0", "sig1")
-    fields = ["lid", "size_at", "sig0", "sig1"]
-    unpacked = {"n": "cast(size_at >> 32 as int)", "i": "cast(size_at & 4294967295 as int)"}
-    unpacked |= {f"o_{c}": e.replace("size_at", "o_size_at") for c, e in unpacked.items()}
-    may_match = re.sub(r"\b(o_n|o_i|n|i)\b", lambda m: unpacked[m[1]], _MAY_MATCH)
-
-    some = placed.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLED)) == 0)
-    large = some.groupBy("key").agg(F.min("lid").alias("o_lid"), F.count("*").alias("n_lines")).where(f"n_lines * {SAMPLED} > {SMALL_GROUP}")
-    in_large = placed.join(broadcast_if_small(materialize(large.drop("n_lines"), "large"), MOST_SENT), "key")
-    heads = in_large.where("lid = o_lid").select("key", *[F.col(c).alias(f"o_{c}") for c in fields])
-    starred = in_large.drop("o_lid").join(heads, "key")
-    star = materialize(starred.where("lid != o_lid").where(may_match).select("lid", "o_lid").distinct(), "star")
-    done = materialize(_verified(star, reps, docs, rarity), "done")
-
-    other = placed.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in ["key", *fields]])
-    met = placed.join(broadcast_if_small(done, MOST_SENT), "lid", "left_anti").join(other, "key").where("lid != o_lid").where(may_match)
-    rest = met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct()
-    rest = materialize(rest, "rest")
-    matched = done.unionByName(_verified(rest, reps, docs, rarity)).distinct()
+    reps = split.where("not again").drop("again").withColumn("done", F.lit(False))
+
+    placed, may_match = _placed(reps), _of_packed(_MAY_MATCH)
+    sampled = placed.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLED)) == 0)
+    large = sampled.groupBy("key").agg(F.min("lid").alias("head"), F.count("*").alias("n_lines")).where(f"n_lines * {SAMPLED} > {SMALL_GROUP}")
+    large = broadcast_if_small(materialize(large.drop("n_lines"), "large"), MOST_SENT)
+    in_large = placed.join(large, "key")
+    heads = _other(in_large.where("lid = head").drop("head"))
+    star = in_large.drop("head").join(heads, "key").where("lid != o_lid").where(may_match).select("lid", "o_lid").distinct()
+    done = materialize(_verified(materialize(star, "star"), reps, rows), "done")
+
+    known = broadcast_if_small(done.withColumn("is_done", F.lit(True)), MOST_SENT)
+    placed = _placed(reps.join(known, "lid", "left").withColumn("done", F.coalesce("is_done", F.lit(False))))
+    # in small groups the conditions name both sides, so both sides of the join are one exchange
+    small = placed.join(large, "key", "left_anti")
+    met = small.join(_other(small), "key").where(_of_packed(_ONCE)).where(may_match).select("lid", "o_lid")
+    # in large ones those that are done meet only those that aren't
+    in_large = placed.join(large.select("key"), "key")
+    left = in_large.where(_of_packed("not done")).join(_other(in_large), "key").where(_of_packed("lid < o_lid or (o_done and lid != o_lid)"))
+    met = met.unionByName(left.where(may_match).select("lid", "o_lid"))
+    rest = materialize(met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct(), "rest")
+    matched = done.unionByName(_verified(rest, reps, rows)).distinct()
     similar = reps.join(matched, "lid", "left_semi").select("doc_id", "row_hash", "line_no")
     gone = copies.unionByName(similar).groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("lines"))
     return materialize(gone, "gone")

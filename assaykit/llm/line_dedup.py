@@ -6,9 +6,8 @@ Prefix words meet by a join on the word, with length, positional and signature f
 what passes is verified on the whole sets. A large group is first tested against one of its lines,
 so a group of near copies costs its size; lines that this leaves undecided meet all others.
 
-Rarity is a count over the whole corpus of a fixed number of hash cells, words of different
-lengths in different cells. The order need only be the same for all lines, so shared cells cost
-candidates but no match.
+Rarity is a count over the whole corpus of a fixed number of hash cells. The order need only be the
+same for all lines, so shared cells cost candidates but no match.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from assaykit.session import broadcast_if_small, discard, materialize
 SMALL_GROUP = 64  # lines that may meet all others of their group at once
 SAMPLED = 32  # one line of so many finds the large groups: that decides the order of work, never the result
 MOST_SENT = 250_000  # rows of a table that may be broadcast, counted first
-LENGTHS, CELLS = 16, 8192  # word lengths, and cells of each, in the table of counts
+CELL_BITS = 17  # cells of the table of counts
 _OTHER_SPACE = ("\t", "\x0b", "\f", "\r")
 
 
@@ -35,34 +34,36 @@ def _words(text: Column) -> Column:
     return F.split(F.when(odd, F.translate(text, "".join(_OTHER_SPACE), " " * len(_OTHER_SPACE))).otherwise(text), " ")
 
 
-def _cell(length: Column, hashed: Column) -> Column:
-    return (F.least(length, F.lit(LENGTHS)) - 1) * CELLS + F.pmod(hashed, F.lit(CELLS))
+def _cell(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - CELL_BITS).cast("int")
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """Constant array: class of each cell, growing with the log of its count. One row per cell is collected."""
+    """Constant array: class of each cell, growing with the log of its count, in the top bits. One row per cell is collected."""
     # the outer form, as Spark would split every text once more to drop empty arrays before the other
     words = docs.select(F.explode_outer(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
-    counts = words.groupBy(_cell(F.length("w"), F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
-    classes = [0] * (LENGTHS * CELLS)
+    counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
+    classes = [0] * (1 << CELL_BITS)
     for cell, level in counts.select("cell", F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(63))).collect():
-        classes[int(cell)] = int(level)
+        classes[int(cell)] = int(level) << 57
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
 
+def _token(word: Column, rarity: Column) -> Column:
+    """The word as an integer that sorts by rarity, then by hash; never null, so that sets are arrays of plain longs."""
+    hashed = F.xxhash64(word)
+    return F.coalesce(F.get(rarity, _cell(hashed)), F.expr("0L")).bitwiseOR(F.shiftrightunsigned(hashed, 7))
+
+
 def _token_set(line: Column, rarity: Column) -> Column:
-    """Distinct words as integers that sort by rarity, then by hash."""
-    keyed = F.transform(F.array_remove(_words(line), ""), lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("l")))
-    packed = F.transform(
-        keyed, lambda s: F.shiftleft(F.get(rarity, _cell(s.l, s.h).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(s.h, 7))
-    )
-    return F.sort_array(F.array_distinct(packed))
+    """Distinct words, ordered by rarity."""
+    every = F.array_distinct(F.transform(_words(line), lambda w: _token(w, rarity)))
+    return F.sort_array(F.array_remove(every, _token(F.lit(""), rarity)))
 
 
-def _signature(tokens: Column, half: int) -> Column:
-    """Bits of half of the words: they differ in no more places than the sets do."""
-    bit = lambda t: F.when(t.bitwiseAND(F.lit(64)) == 64 * half, F.expr("1L")).otherwise(F.expr("0L"))
-    return F.aggregate(tokens, F.expr("0L"), lambda s, t: s.bitwiseOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(F.lit(63)).cast("int"))))
+def _signature(tokens: Column) -> Column:
+    """64 parities of the words: they differ in no more places than the sets do."""
+    return F.aggregate(tokens, F.expr("0L"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.expr("1L"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -83,12 +84,13 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_hash").alias("c"), F.col("line_no").alias("d"))
 
 
-# The first word that two lines share has all their common words from its place on, in both lines.
+# Conditions on two prefix words, a and b. The first word that two lines share has all their common words
+# from its place on, in both lines.
 _MAY_MATCH = """
-  5 * least(n, o_n) >= 4 * greatest(n, o_n)
-  and 9 * least(n - i, o_n - o_i) >= 4 * (n + o_n)
-  and 9 * (bit_count(sig0 ^ o_sig0) + bit_count(sig1 ^ o_sig1)) <= n + o_n"""
-_ONCE = "not (done and o_done) and (n < o_n or (n = o_n and lid < o_lid))"
+  5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n)
+  and 9 * bit_count(a.sig ^ b.sig) <= a.n + b.n"""
+_ONCE = "not (a.done and b.done) and (a.n < b.n or (a.n = b.n and a.lid < b.lid))"
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -111,21 +113,18 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _placed(reps: DataFrame) -> DataFrame:
     """One row per prefix word; few and narrow columns, as this is the largest exchange: size, place and done share one."""
-    words = reps.select("lid", "n", "sig0", "sig1", "done", F.posexplode_outer("prefix").alias("i", "key"))
+    words = reps.select("lid", "n", "sig", "done", F.posexplode_outer("prefix").alias("i", "key"))
     packed = "shiftleft(cast(n as bigint), 32) | shiftleft(cast(i as bigint), 1) | if(done, 1L, 0L)"
-    return words.select("key", "lid", F.expr(packed).alias("size_at"), "sig0", "sig1")
-
-
-_UNPACKED = {"n": "cast(size_at >> 32 as int)", "i": "cast((size_at & 4294967295) >> 1 as int)", "done": "((size_at & 1) = 1)"}
-_UNPACKED |= {f"o_{c}": e.replace("size_at", "o_size_at") for c, e in _UNPACKED.items()}
+    return words.select("key", "lid", F.expr(packed).alias("size_at"), "sig")
 
 
-def _of_packed(condition: str) -> str:
-    return re.sub(r"\b(o_n|o_i|o_done|n|i|done)\b", lambda m: _UNPACKED[m[1]], condition)
+_UNPACKED = {"n": "cast({}.size_at >> 32 as int)", "i": "cast(({}.size_at & 4294967295) >> 1 as int)", "done": "(({}.size_at & 1) = 1)"}
 
 
-def _other(placed: DataFrame) -> DataFrame:
-    return placed.select("key", *[F.col(c).alias(f"o_{c}") for c in placed.columns if c != "key"])
+def _meet(a: DataFrame, b: DataFrame, condition: str) -> DataFrame:
+    """(lid, o_lid) of rows of one key that fulfil ``condition`` and may match; a side is not renamed, so equal sides are one exchange."""
+    unpacked = re.sub(r"\b([ab])\.(n|i|done)\b", lambda m: _UNPACKED[m[2]].format(m[1]), f"a.key = b.key and ({condition}) and {_MAY_MATCH}")
+    return a.alias("a").join(b.alias("b"), F.expr(unpacked)).select(F.col("a.lid").alias("lid"), F.col("b.lid").alias("o_lid"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -135,8 +134,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     tokens = _lines(rows).select("doc_id", "row_hash", "line_no", _token_set(F.col("line"), rarity).alias("tokens"))
     profile = tokens.select(
         "doc_id", "row_hash", "line_no", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), "tokens").alias("s2"),
-        _signature(F.col("tokens"), 0).alias("sig0"), _signature(F.col("tokens"), 1).alias("sig1"),
-        F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)").alias("prefix"),
+        _signature(F.col("tokens")).alias("sig"), F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)").alias("prefix"),
     )
     # lines without words are left out on reading: a condition before that would make every set twice
     written = materialize(profile, "lines")
@@ -154,24 +152,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     copies = split.where("again").select("doc_id", "row_hash", "line_no")
     reps = split.where("not again").drop("again").withColumn("done", F.lit(False))
 
-    placed, may_match = _placed(reps), _of_packed(_MAY_MATCH)
+    placed = _placed(reps)
     sampled = placed.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLED)) == 0)
     large = sampled.groupBy("key").agg(F.min("lid").alias("head"), F.count("*").alias("n_lines")).where(f"n_lines * {SAMPLED} > {SMALL_GROUP}")
     large = broadcast_if_small(materialize(large.drop("n_lines"), "large"), MOST_SENT)
     in_large = placed.join(large, "key")
-    heads = _other(in_large.where("lid = head").drop("head"))
-    star = in_large.drop("head").join(heads, "key").where("lid != o_lid").where(may_match).select("lid", "o_lid").distinct()
+    star = _meet(in_large.drop("head"), in_large.where("lid = head").drop("head"), "a.lid != b.lid").distinct()
     done = materialize(_verified(materialize(star, "star"), reps, rows), "done")
 
     known = broadcast_if_small(done.withColumn("is_done", F.lit(True)), MOST_SENT)
     placed = _placed(reps.join(known, "lid", "left").withColumn("done", F.coalesce("is_done", F.lit(False))))
     # in small groups the conditions name both sides, so both sides of the join are one exchange
     small = placed.join(large, "key", "left_anti")
-    met = small.join(_other(small), "key").where(_of_packed(_ONCE)).where(may_match).select("lid", "o_lid")
+    met = _meet(small, small, _ONCE)
     # in large ones those that are done meet only those that aren't
     in_large = placed.join(large.select("key"), "key")
-    left = in_large.where(_of_packed("not done")).join(_other(in_large), "key").where(_of_packed("lid < o_lid or (o_done and lid != o_lid)"))
-    met = met.unionByName(left.where(may_match).select("lid", "o_lid"))
+    met = met.unionByName(_meet(in_large.where("size_at & 1 = 0"), in_large, "a.lid < b.lid or (b.done and a.lid != b.lid)"))
     rest = materialize(met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct(), "rest")
     matched = done.unionByName(_verified(rest, reps, rows)).distinct()
     similar = reps.join(matched, "lid", "left_semi").select("doc_id", "row_hash", "line_no")

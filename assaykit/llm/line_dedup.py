@@ -4,7 +4,8 @@ A line is the set of its words. Lines with equal sets are collapsed first. The w
 ordered by rarity, and two lines of similarity 0.8 share a word in their prefixes, the rarest fifth.
 Prefix words meet by a join on the word, with length, positional and signature filters in the join;
 what passes is verified on the whole sets. A large group is first tested against one of its lines,
-so a group of near copies costs its size; lines that this leaves undecided meet all others.
+so a group of near copies costs its size; lines that this leaves undecided meet all others. Of what
+they meet, one candidate a line is verified first, then the pairs that still have an undecided line.
 
 Rarity is a count over the whole corpus of a fixed number of hash cells. The order need only be the
 same for all lines, so shared cells cost candidates but no match.
@@ -169,7 +170,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     in_large = placed.join(large.select("key"), "key")
     met = met.unionByName(_meet(in_large.where("size_at & 1 = 0"), in_large, "a.lid < b.lid or (b.done and a.lid != b.lid)"))
     rest = materialize(met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct(), "rest")
-    matched = done.unionByName(_verified(rest, reps, rows)).distinct()
+    # one candidate a line first: in a group of similar lines that settles nearly all of them
+    first = materialize(rest.groupBy("o_lid").agg(F.min("lid").alias("lid")).select("lid", "o_lid"), "first")
+    done = materialize(done.unionByName(_verified(first, reps, rows)).distinct(), "done")
+    open_pairs = rest.join(first, ["lid", "o_lid"], "left_anti")
+    for side in ("lid", "o_lid"):
+        known = broadcast_if_small(done.select(F.col("lid").alias(side), F.lit(True).alias(f"{side}_done")), MOST_SENT)
+        open_pairs = open_pairs.join(known, side, "left")
+    open_pairs = open_pairs.where("lid_done is null or o_lid_done is null").select("lid", "o_lid")
+    matched = done.unionByName(_verified(materialize(open_pairs, "open"), reps, rows)).distinct()
     similar = reps.join(matched, "lid", "left_semi").select("doc_id", "row_hash", "line_no")
     gone = copies.unionByName(similar).groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("lines"))
     return materialize(gone, "gone")

@@ -3,7 +3,8 @@
 A line is the set of its words. Lines with equal sets are collapsed first. The words of a line are
 ordered by rarity, and two lines of similarity 0.8 share a word in their prefixes, the rarest fifth.
 Prefix words meet by a join on the word, with length, positional and signature filters in the join;
-what passes is verified on the whole sets. A large group is first tested against one of its lines,
+what passes is first compared by wider signatures, where lines are long, then verified on the whole
+sets. A large group is first tested against one of its lines,
 so a group of near copies costs its size; lines that this leaves undecided meet all others.
 
 Rarity is a count over the whole corpus of a fixed number of hash cells. The order need only be the
@@ -24,6 +25,8 @@ SMALL_GROUP = 64  # lines that may meet all others of their group at once
 SAMPLED = 32  # one line of so many finds the large groups: that decides the order of work, never the result
 MOST_SENT = 250_000  # rows of a table that may be broadcast, counted first
 CELL_BITS = 17  # cells of the table of counts
+WIDE_FROM = 97  # words: the 64 parities of shorter lines tell them apart well enough
+MOST_LONGS = 16  # of a wide signature, which costs this many looks at a word; longer lines only pass it more often
 _OTHER_SPACE = ("\t", "\x0b", "\f", "\r")
 
 
@@ -61,9 +64,26 @@ def _token_set(line: Column, rarity: Column) -> Column:
     return F.sort_array(F.array_remove(every, _token(F.lit(""), rarity)))
 
 
-def _signature(tokens: Column) -> Column:
+def _bit(token: Column) -> Column:
+    return F.call_function("shiftleft", F.expr("1L"), token.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _wide_signature(tokens: Column) -> Column:
+    """Parities in a power of two of longs, about one a word; null for short lines.
+
+    A word counts in the long that the bits above its lowest six name, so the halves of a signature
+    give, one xor the other, the signature of half the longs.
+    """
+    longs = F.least(F.lit(MOST_LONGS), F.pow(F.lit(2.0), F.ceil(F.log2((F.size(tokens) / 64).cast("double")))).cast("int"))
+    place = lambda t: F.shiftright(t, 6).bitwiseAND(longs.cast("bigint") - 1)
+    one = lambda j: F.aggregate(tokens, F.expr("0L"), lambda s, t: F.when(place(t) == j, s.bitwiseXOR(_bit(t))).otherwise(s))
+    return F.when(F.size(tokens) >= WIDE_FROM, F.transform(F.sequence(F.lit(0), longs - 1), lambda j: one(j)))
+
+
+def _signature(tokens: Column, wide: Column) -> Column:
     """64 parities of the words: they differ in no more places than the sets do."""
-    return F.aggregate(tokens, F.expr("0L"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.expr("1L"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    folded = F.aggregate(wide, F.expr("0L"), lambda s, x: s.bitwiseXOR(x))
+    return F.when(wide.isNotNull(), folded).otherwise(F.aggregate(tokens, F.expr("0L"), lambda s, t: s.bitwiseXOR(_bit(t))))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -93,6 +113,19 @@ _MAY_MATCH = """
 _ONCE = "not (a.done and b.done) and (a.n < b.n or (a.n = b.n and a.lid < b.lid))"
 
 
+def _pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``pairs`` without those whose wide signatures differ in more places than the sets of similar lines can."""
+    wide = reps.where("wide is not null").select("lid", "n", "wide")
+    other = wide.select(*[F.col(c).alias(f"o_{c}") for c in wide.columns])
+    both = pairs.join(wide, "lid", "left").join(other, "o_lid", "left")
+    longs = F.least(F.size("wide"), F.size("o_wide"))
+    # sizes of a pair are near each other, so one signature has at most twice the longs of the other
+    fold = lambda w: F.when(F.size(w) > longs, F.zip_with(F.slice(w, 1, longs), F.slice(w, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(w))
+    differ = F.aggregate(F.zip_with(fold("wide"), fold("o_wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    kept = F.col("wide").isNull() | F.col("o_wide").isNull() | (9 * differ <= F.col("n") + F.col("o_n"))
+    return both.where(kept).select("lid", "o_lid")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """The later line (lid) of each pair whose whole sets of words are similar."""
     wanted = pairs.select(F.explode(F.array("lid", "o_lid")).alias("lid")).distinct()
@@ -132,9 +165,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     rarity = _rarity(pick(docs, "doc_id", "text"))
     tokens = _lines(rows).select("doc_id", "row_hash", "line_no", _token_set(F.col("line"), rarity).alias("tokens"))
-    profile = tokens.select(
+    signed = tokens.withColumn("wide", _wide_signature(F.col("tokens")))
+    profile = signed.select(
         "doc_id", "row_hash", "line_no", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), "tokens").alias("s2"),
-        _signature(F.col("tokens")).alias("sig"), F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)").alias("prefix"),
+        _signature(F.col("tokens"), F.col("wide")).alias("sig"), "wide", F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)").alias("prefix"),
     )
     # lines without words are left out on reading: a condition before that would make every set twice
     written = materialize(profile, "lines")
@@ -146,7 +180,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     equal = broadcast_if_small(materialize(equal, "equal"), MOST_SENT)
     marked = profile.join(equal, ["n", "s1", "s2"], "left").withColumn("again", F.coalesce(_order() > F.col("first"), F.lit(False)))
     # lines that come again need no prefix, and those that stay no hashes: each is written once
-    split = marked.withColumns({"prefix": F.when(~F.col("again"), F.col("prefix")), "lid": F.monotonically_increasing_id()}).drop("first", "s1", "s2")
+    split = marked.withColumns({**{c: F.when(~F.col("again"), F.col(c)) for c in ("prefix", "wide")}, "lid": F.monotonically_increasing_id()}).drop("first", "s1", "s2")
     split = materialize(split, "split")
     discard(written)
     copies = split.where("again").select("doc_id", "row_hash", "line_no")
@@ -158,7 +192,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     large = broadcast_if_small(materialize(large.drop("n_lines"), "large"), MOST_SENT)
     in_large = placed.join(large, "key")
     star = _meet(in_large.drop("head"), in_large.where("lid = head").drop("head"), "a.lid != b.lid").distinct()
-    done = materialize(_verified(materialize(star, "star"), reps, rows), "done")
+    done = materialize(_verified(materialize(_pruned(star, reps), "star"), reps, rows), "done")
 
     known = broadcast_if_small(done.withColumn("is_done", F.lit(True)), MOST_SENT)
     placed = _placed(reps.join(known, "lid", "left").withColumn("done", F.coalesce("is_done", F.lit(False))))
@@ -168,7 +202,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # in large ones those that are done meet only those that aren't
     in_large = placed.join(large.select("key"), "key")
     met = met.unionByName(_meet(in_large.where("size_at & 1 = 0"), in_large, "a.lid < b.lid or (b.done and a.lid != b.lid)"))
-    rest = materialize(met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct(), "rest")
+    met = met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct()
+    rest = materialize(_pruned(met, reps), "rest")
     matched = done.unionByName(_verified(rest, reps, rows)).distinct()
     similar = reps.join(matched, "lid", "left_semi").select("doc_id", "row_hash", "line_no")
     gone = copies.unionByName(similar).groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("lines"))

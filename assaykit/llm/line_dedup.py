@@ -42,20 +42,21 @@ def _cell(hashed: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """Constant array: class of each cell, growing with the log of its count, in the top bits. One row per cell is collected."""
+    """Constant array: class of each cell, growing with the log of its count; small, as plans repeat it. One row per cell is collected."""
     # the outer form, as Spark would split every text once more to drop empty arrays before the other
     words = docs.select(F.explode_outer(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
     counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
     classes = [0] * (1 << CELL_BITS)
     for cell, level in counts.select("cell", F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(63))).collect():
-        classes[int(cell)] = int(level) << 57
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+        classes[int(cell)] = int(level)
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
 
 
 def _token(word: Column, rarity: Column) -> Column:
     """The word as an integer that sorts by rarity, then by hash; never null, so that sets are arrays of plain longs."""
     hashed = F.xxhash64(word)
-    return F.coalesce(F.get(rarity, _cell(hashed)), F.expr("0L")).bitwiseOR(F.shiftrightunsigned(hashed, 7))
+    level = F.coalesce(F.get(rarity, _cell(hashed)).cast("bigint"), F.expr("0L"))
+    return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(hashed, 7))
 
 
 def _token_set(line: Column, rarity: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
@@ -31,6 +32,7 @@ from assaykit.functions.fingerprint import sized
 # Up to this width the Gram matrix (width^2 doubles) is summed in one pass over the rows;
 # wider input goes to the iterative solver, which never forms it.
 MAX_GRAM_WIDTH = 4096
+SLICE_NUMBERS = 1 << 22  # products that a projection holds at once
 
 
 class NumericScaler(Estimator, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -102,6 +104,31 @@ def _filled(basis: np.ndarray, moments: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.hstack([basis, rest]), np.concatenate([moments, np.zeros(missing)])
 
 
+def project_batch(index: pa.Array, value: pa.Array, basis: np.ndarray) -> pa.Array:
+    """Rows of a sparse matrix, lists of indices and values, times ``basis``; a list of indices is null in a dense row.
+
+    Rows are taken in slices of a bounded number of elements, and the products of a slice added up per row.
+    """
+    k = basis.shape[1]
+    lengths = pc.list_value_length(value).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    values = value.flatten().to_numpy(zero_copy_only=False)
+    at = np.arange(len(values)) - np.repeat(ends - lengths, lengths)
+    at[np.repeat(index.is_valid().to_numpy(zero_copy_only=False), lengths)] = index.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(value), k))
+    most = max(1, SLICE_NUMBERS // k)
+    row = 0
+    while row < len(value):
+        begin = ends[row] - lengths[row]
+        to = max(row + 1, int(np.searchsorted(ends, begin + most, "right")))
+        some = np.flatnonzero(lengths[row:to]) + row
+        if len(some):
+            products = values[begin : ends[to - 1], None] * basis[at[begin : ends[to - 1]]]
+            out[some] = np.add.reduceat(products, ends[some] - lengths[some] - begin, axis=0)
+        row = to
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(value) + 1) * k, pa.int32()), pa.array(out.ravel()))
+
+
 class TruncatedSVD(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Uncentred truncated SVD. Unlike PCA it keeps sparse input sparse."""
 
@@ -166,15 +193,12 @@ class TruncatedSVDModel(Model, HasInputCol, HasOutputCol, MLWritable, MLReadable
         # width x k doubles, both fixed by the model and independent of the row count
         basis = df.sparkSession.sparkContext.broadcast(self.components)
 
-        @F.pandas_udf("array<double>")
-        def project(index: pd.Series, value: pd.Series) -> pd.Series:
-            v = basis.value
-            # a dense vector carries no indices
-            return pd.Series([x @ (v if i is None else v[i]) for i, x in zip(index, value)])
+        def project(index: pa.Array, value: pa.Array) -> pa.Array:
+            return project_batch(index, value, basis.value)
 
         # indices and values as stored, so a sparse vector is never made dense
         parts = F.unwrap_udt(F.col(self.getInputCol()))
-        projected = project(parts["indices"], parts["values"])
+        projected = F.arrow_udf(project, "array<double>")(parts["indices"], parts["values"])
         reduced = df.withColumn(self.getOutputCol(), array_to_vector(projected))
         return sized(reduced, self.getOutputCol(), self.components.shape[1])
 

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
@@ -108,3 +112,35 @@ def test_encoder_agrees_with_the_column_expression(rows, spark):
     bad = spark.createDataFrame([(0, "1,x,0,1")], "id long, fp string")
     with pytest.raises(PySparkException, match="malformed"):
         stage.transform(bad).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batch_parser_against_single_texts(seed):
+    rng = random.Random(seed)
+    element = lambda: rng.choice(["0", "0", "0", "1", "7", "-3", "+4", "12", "-250", "007", " 5", "6 ", "999999999999999999"])
+    texts = [None if rng.random() < 0.1 else ",".join(element() for _ in range(rng.choice([5, 5, 5, 4, 1]))) for _ in range(rng.choice([0, 1, 300]))]
+    want = [(r, i, int(x)) for r, t in enumerate(texts) if t is not None and t.count(",") == 4 for i, x in enumerate(t.split(",")) if int(x)]
+    for shift in (0, min(3, len(texts))):  # also a slice of a longer array
+        column = pa.array(texts[:shift] + texts, pa.string())[shift:]
+        assert list(zip(*(x.tolist() for x in fp.parse_batch(column, 5)))) == want
+    assert [x.tolist() for x in fp.parse_batch(pa.array(["1", None, "0", "3", "1,1"]), 1)] == [[0, 3], [0, 0], [1, 3]]
+
+
+@pytest.mark.parametrize("bad", ["1,x,0", "1,,0", ",1,1", "1,1,", "1,1.0,1", "1,-,1", "1,1 1,0", "1,\u0661,0", "1,1234567890123456789,0", "1, ,0", "a,0,0"])
+def test_batch_parser_names_a_malformed_text(bad):
+    with pytest.raises(ValueError, match="malformed"):
+        fp.parse_batch(pa.array(["0,0,0", bad, None]), 3)
+
+
+def test_encoder_over_several_batches(spark):
+    texts = [",".join(str(int(x)) for x in np.random.default_rng(i).integers(0, 3, 70)) for i in range(50)]
+    df = spark.createDataFrame([(i, t, None if i % 7 == 0 else t) for i, t in enumerate(texts)], "id long, a string, b string").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        got = by_id(fp.FingerprintEncoder(inputCols=["a", "b"], widths=[70, 70], mode="count", outputCol="v").transform(df))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for i, t in enumerate(texts):
+        one = [int(x) for x in t.split(",")]
+        assert got[i].toArray().tolist() == one + ([0] * 70 if i % 7 == 0 else one)

@@ -1,6 +1,7 @@
 import json
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
@@ -278,3 +279,18 @@ def test_class_weights_can_be_set():
         with pytest.raises(ValueError):
             models.weighting_for("xgboost", "y", bad)
     models.make_classifier("xgboost", {"scale_pos_weight": 3})
+
+
+def test_projection_of_a_batch_with_sparse_dense_and_empty_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    basis = rng.standard_normal((30, 4))
+    rows = [np.where(rng.random(30) < 0.2, rng.standard_normal(30), 0.0) for _ in range(40)] + [np.zeros(30)] * 2
+    dense = [i % 5 == 0 for i in range(42)]
+    index = pa.array([None if d else np.flatnonzero(r).tolist() for r, d in zip(rows, dense)], pa.list_(pa.int32()))
+    value = pa.array([r.tolist() if d else r[r != 0].tolist() for r, d in zip(rows, dense)], pa.list_(pa.float64()))
+    want = np.array(rows) @ basis
+    for most in (1 << 22, 40, 1):
+        monkeypatch.setattr(features, "SLICE_NUMBERS", most)
+        assert np.allclose(np.array(features.project_batch(index, value, basis).to_pylist()), want)
+        assert np.allclose(np.array(features.project_batch(index[7:], value[7:], basis).to_pylist()), want[7:])
+    assert features.project_batch(index[:0], value[:0], basis).to_pylist() == []

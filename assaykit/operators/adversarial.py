@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.fingerprint import FingerprintEncoder, modal_widths
 from assaykit.operators.features import NumericScaler
-from assaykit.operators.models import FEATURES, ClassWeighter, ProbabilityThreshold, make_classifier
+from assaykit.operators.models import FEATURES, ClassWeighter, ProbabilityThreshold, make_classifier, spread_to_fit
 from assaykit.operators.splits import seeded_order
 from assaykit.sources.tables import normalize_columns
 
@@ -55,9 +55,11 @@ def adversarial_scores(
     and scores the other half, both ways.
     """
     train = normalize_columns(train)
-    both = mark_sources(train, new, [id_col, *fp_cols, *num_cols]).persist()
+    both = mark_sources(train, new, [id_col, *fp_cols, *num_cols])
+    widths = modal_widths(both, fp_cols)
+    both = spread_to_fit(both, both.count(), sum(widths.values()) + len(num_cols)).persist()
     try:
-        plan = source_model(fp_cols, num_cols, modal_widths(both, fp_cols), params)
+        plan = source_model(fp_cols, num_cols, widths, params)
         target = train.withColumn(SOURCE, F.lit(0))
         if not cross_fit:
             parts = [(plan.fit(both), target)]

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from assaykit.operators.boosting import BoostingSettings, HistogramBoosting
 
 FEATURES, LABEL, WEIGHT = "features", "__label", "__weight"
+# Feature values, zeros too, that a task keeps while a classifier is fitted, about.
+VALUES_PER_TASK = 8_000_000
 
 # Weight of the positive class for the two boosted kinds that do not balance.
 POSITIVE_WEIGHT = 12.0
@@ -225,6 +227,16 @@ def classifier_stages(name: str, label: str, params: dict | None = None, on_unsu
     ]
 
 
+def spread_to_fit(df: DataFrame, n_rows: int, width: int) -> DataFrame:
+    """``df`` in tasks of a bounded size for rows of ``width`` features, which a file holds in few bytes.
+
+    Trees keep a number for every feature of a row, so a task that reads one split of a file may keep
+    gigabytes. A table that the cores share in smaller parts anyway is returned as it is.
+    """
+    tasks = -(-n_rows * width // VALUES_PER_TASK)
+    return df.repartition(tasks) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def with_threshold(model: PipelineModel, threshold: float) -> PipelineModel:
     """The same fitted model deciding at another threshold."""
     stages = [s for s in model.stages if not isinstance(s, ProbabilityThreshold)]

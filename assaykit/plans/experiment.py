@@ -165,7 +165,11 @@ def run_experiment(df: DataFrame, cfg: ExperimentConfig) -> ExperimentResult:
         stages = feature_stages(replace(cfg, svd_components=n_components), widths)
 
     featurizer = Pipeline(stages=stages).fit(train)
-    ready = featurizer.transform(train).select(cfg.label, models.FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = featurizer.transform(train).select(cfg.label, models.FEATURES)
+    if cfg.model_name != "logistic_regression":
+        width = (cfg.svd_components or sum(widths.values())) + len(cfg.numerics)
+        ready = models.spread_to_fit(ready, train.count(), width)
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tail = models.classifier_stages(cfg.model_name, cfg.label, params, cfg.on_unsupported)
         classifier = Pipeline(stages=tail).fit(ready)

@@ -4,6 +4,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -183,6 +184,23 @@ def test_scoring_an_absent_block_as_zeros(spark, compounds):
     assert scoring.batch_scores(model, compounds).columns == ["DELLabel"]
 
 
+def test_trees_are_fitted_in_tasks_of_a_bounded_size(spark, compounds, tmp_path, monkeypatch):
+    """A table of few bytes is one split of a file, however many values its rows hold."""
+    compounds.coalesce(1).write.parquet(f"{tmp_path}/table")
+    table, tasks, fit = spark.read.parquet(f"{tmp_path}/table").withColumnRenamed("mw", "MW"), [], GBTClassifier._fit
+
+    def recorded(self, df):
+        tasks.append(df.rdd.getNumPartitions())
+        return fit(self, df)
+
+    monkeypatch.setattr(GBTClassifier, "_fit", recorded)
+    monkeypatch.setattr(models, "VALUES_PER_TASK", table.count() * 97 // 32)
+    params, new = {"n_estimators": 1, "max_depth": 1}, table.where("compound_id % 5 = 0").drop("label")
+    adversarial.adversarial_scores(table.where("compound_id % 5 != 0"), new, "compound_id", ["fp_part", "fp_supp"], ["MW"], params)
+    ex.run_experiment(table, config(model_name="xgboost", model_params=params, numerics=["MW"]))
+    assert len(tasks) == 2 and min(tasks) >= 20
+
+
 @pytest.mark.parametrize("cross_fit", [False, True])
 def test_adversarial_scores_find_the_shift(spark, cross_fit):
     """Training rows that look like the new data score higher."""

@@ -219,9 +219,8 @@ def ensemble_evaluation(spark, sf):
     )
 
 
-def _landed(spark, sf, rows="true"):
+def _landed(spark, table):
     path = scratch_path(spark, "landing")
-    table = fx.compounds(spark, sf).where(rows)
     table.write.parquet(path)
     return path, table.schema
 
@@ -229,8 +228,9 @@ def _landed(spark, sf, rows="true"):
 @query("stream_scores")
 def stream_scores(spark, sf):
     cfg = _config()
-    model = ex.run_experiment(fx.compounds_file(spark, sf).where(_KNOWN), cfg).model
-    source, schema = _landed(spark, sf, _IS_NEW)
+    table = fx.compounds_file(spark, sf)
+    model = ex.run_experiment(table.where(_KNOWN), cfg).model
+    source, schema = _landed(spark, table.where(_IS_NEW))
     sink = scratch_path(spark, "scored")
     job = jobs.score_files(spark, model, source, schema, sink, scratch_path(spark, "state"), ("compound_id",), 2)
     job.awaitTermination()
@@ -245,6 +245,6 @@ def stream_scores(spark, sf):
     SELECT "column", MIN(v) AS min_value, MAX(v) AS max_value FROM e GROUP BY 1""",
 )
 def stream_minmax(spark, sf):
-    source, schema = _landed(spark, sf)
+    source, schema = _landed(spark, fx.compounds(spark, sf))
     name = f"ranges_{uuid.uuid4().hex[:12]}"
     return jobs.drain_ranges(spark, source, schema, ["fp_part", "fp_supp"], scratch_path(spark, "state"), name)

@@ -10,6 +10,7 @@ from assaykit import session
 from assaykit.operators import metrics, models, ordered, profile, scoring, similarity, splits
 from assaykit.plans import experiment as ex
 from assaykit.plans import fixtures as fx
+from assaykit.plans import model_queries
 from assaykit.plans.catalog import ORACLES, QUERIES
 from assaykit.sources import tables as src
 from assaykit.streaming import jobs
@@ -49,6 +50,28 @@ def test_broadcast_hint_only_below_the_bound(spark):
     assert "broadcast" not in plan(session.broadcast_if_small(df, 9))
 
 
+def test_compounds_of_odd_lines(spark, tmp_path):
+    """Missing keys, counts of several digits, an order without lines and the short second fingerprint; no text is built element by element in the plan."""
+    lines = [(1, 3, 5)] * 12 + [(1, 64 + 3, None), (1, None, 32 + 5), (1, 63, 31), (101, 0, 31), (101, 0, 30), (3, None, None), (None, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, 1, "1-URGENT", 1.0) for k in (1, 2, 3, 101)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    table = fx.compounds(spark, str(tmp_path))
+    text = lambda width, held: ",".join(str(held.get(i, 0)) for i in range(width))
+    got = {r["compound_id"]: (r["fp_part"], r["fp_supp"]) for r in table.collect()}
+    assert got == {
+        1: (text(64, {3: 13, 63: 1}), text(32, {5: 13, 31: 1})), 2: (None, None), 3: (text(64, {}), text(32, {})), 101: (text(64, {0: 2}), text(31, {30: 1})),
+    }
+    assert "lambdafunction" not in plan_of(table)
+
+
+def test_stream_scores_builds_the_compounds_once(spark, small, monkeypatch):
+    built, build = [], fx.compounds
+    monkeypatch.setattr(fx, "compounds", lambda *a: built.append(a) or build(*a))
+    scored = model_queries.stream_scores(spark, small)
+    assert scored.count() == build(spark, small).where("compound_id % 5 = 0").count() and len(built) == 1
+
+
 def test_scored_stream_equals_batch_and_resumes(spark, small, tmp_path):
     table = fx.compounds(spark, small)
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))

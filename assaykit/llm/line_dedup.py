@@ -1,20 +1,18 @@
 """Line dedup by an exact set-similarity join, in column expressions only.
 
-A line is the set of its words. Lines with equal sets are collapsed first. The words of a line are
-ordered by rarity, and two lines of similarity 0.8 share a word in their prefixes, the rarest fifth.
-Prefix words meet by a join on the word, with length, positional and signature filters in the join;
-what passes is first compared by wider signatures, where lines are long, then verified on the whole
-sets. A large group is first tested against one of its lines,
-so a group of near copies costs its size; lines that this leaves undecided meet all others.
-
-Rarity is a count over the whole corpus of a fixed number of hash cells. The order need only be the
-same for all lines, so shared cells cost candidates but no match.
+A line is the set of its words. Lines with equal sets are collapsed first. The words of the others fall
+into 2^j parts by their hashes. Two lines of similarity 0.8 differ in h words at most, so all parts but
+h are equal; the strongest of these, by the letters of its words, is among the h + 1 strongest of either
+line. Lines that hold one such part in common meet, by a join on a hash of all its words. Such a key is
+several words, so few lines share it by chance where single words are met in ever more lines.
+
+Filters on size and signature are in the join, what passes is verified on the whole sets. A large group
+is first tested against one of its lines, so a group of near copies costs its size; lines that this
+leaves undecided meet all others.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +20,8 @@ from assaykit.llm.common import pick
 from assaykit.session import broadcast_if_small, discard, materialize
 
 SMALL_GROUP = 64  # lines that may meet all others of their group at once
-SAMPLED = 32  # one line of so many finds the large groups: that decides the order of work, never the result
 MOST_SENT = 250_000  # rows of a table that may be broadcast, counted first
-CELL_BITS = 17  # cells of the table of counts
-WIDE_FROM = 97  # words: the 64 parities of shorter lines tell them apart well enough
-MOST_LONGS = 16  # of a wide signature, which costs this many looks at a word; longer lines only pass it more often
+LOOKED_UP = 300  # words of a line whose parts are looked up one by one, which is faster but quadratic
 _OTHER_SPACE = ("\t", "\x0b", "\f", "\r")
 
 
@@ -37,54 +32,51 @@ def _words(text: Column) -> Column:
     return F.split(F.when(odd, F.translate(text, "".join(_OTHER_SPACE), " " * len(_OTHER_SPACE))).otherwise(text), " ")
 
 
-def _cell(hashed: Column) -> Column:
-    return F.shiftrightunsigned(hashed, 64 - CELL_BITS).cast("int")
-
-
-def _rarity(docs: DataFrame) -> Column:
-    """Constant array: class of each cell, growing with the log of its count; small, as plans repeat it. One row per cell is collected."""
-    # the outer form, as Spark would split every text once more to drop empty arrays before the other
-    words = docs.select(F.explode_outer(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w != ''")
-    counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
-    classes = [0] * (1 << CELL_BITS)
-    for cell, level in counts.select("cell", F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(63))).collect():
-        classes[int(cell)] = int(level)
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
+def _token(word: Column) -> Column:
+    """The word's hash, with its length in the last four bits; never null, so that sets are arrays of plain longs."""
+    return F.xxhash64(word).bitwiseAND(F.lit(-16)).bitwiseOR(F.least(F.length(word), F.lit(15)).cast("bigint"))
 
 
-def _token(word: Column, rarity: Column) -> Column:
-    """The word as an integer that sorts by rarity, then by hash; never null, so that sets are arrays of plain longs."""
-    hashed = F.xxhash64(word)
-    level = F.coalesce(F.get(rarity, _cell(hashed)).cast("bigint"), F.expr("0L"))
-    return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(hashed, 7))
+def _token_set(line: Column) -> Column:
+    """Distinct words, ordered by hash."""
+    every = F.array_distinct(F.transform(_words(line), _token))
+    return F.sort_array(F.array_remove(every, _token(F.lit(""))))
 
 
-def _token_set(line: Column, rarity: Column) -> Column:
-    """Distinct words, ordered by rarity."""
-    every = F.array_distinct(F.transform(_words(line), lambda w: _token(w, rarity)))
-    return F.sort_array(F.array_remove(every, _token(F.lit(""), rarity)))
+def _signed(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``sig0`` and ``sig1``, 128 parities of the words: they differ in no more places than the sets do.
 
-
-def _bit(token: Column) -> Column:
-    return F.call_function("shiftleft", F.expr("1L"), token.bitwiseAND(F.lit(63)).cast("int"))
+    Words below 0 count in the first. The ordered tokens are cut at a number that is no token, as these end in a length.
+    """
+    sets = sets.withColumn("marked", F.expr("sort_array(concat(tokens, array(0L)))")).withColumn("cut", F.expr("cast(array_position(marked, 0L) as int)"))
+    one = "aggregate(slice(marked, {}), 0L, (s, t) -> s ^ shiftleft(1L, cast(shiftright(t, 4) & 63L as int)))"
+    return sets.withColumns({"sig0": F.expr(one.format("1, cut - 1")), "sig1": F.expr(one.format("cut + 1, size(marked) - cut"))})
 
 
-def _wide_signature(tokens: Column) -> Column:
-    """Parities in a power of two of longs, about one a word; null for short lines.
+def _with_keys(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``keys`` from n and tokens; similar lines that aren't equal have a key in common.
 
-    A word counts in the long that the bits above its lowest six name, so the halves of a signature
-    give, one xor the other, the signature of half the longs.
+    A line of up to 3 * 2^j - 1 words, or 4 * 2^j - 1 if it is long, has 2^j parts: more than a similar line can
+    differ in, so that even of those with words some are equal but for a few lines. The larger line of a pair decides, so a line has keys for the next j as well if a similar line may be
+    so large. A part without words is weaker than all others. Where it is among the strongest nevertheless,
+    there is one key for all such lines.
     """
-    longs = F.least(F.lit(MOST_LONGS), F.pow(F.lit(2.0), F.ceil(F.log2((F.size(tokens) / 64).cast("double")))).cast("int"))
-    place = lambda t: F.shiftright(t, 6).bitwiseAND(longs.cast("bigint") - 1)
-    one = lambda j: F.aggregate(tokens, F.expr("0L"), lambda s, t: F.when(place(t) == j, s.bitwiseXOR(_bit(t))).otherwise(s))
-    return F.when(F.size(tokens) >= WIDE_FROM, F.transform(F.sequence(F.lit(0), longs - 1), lambda j: one(j)))
-
-
-def _signature(tokens: Column, wide: Column) -> Column:
-    """64 parities of the words: they differ in no more places than the sets do."""
-    folded = F.aggregate(wide, F.expr("0L"), lambda s, x: s.bitwiseXOR(x))
-    return F.when(wide.isNotNull(), folded).otherwise(F.aggregate(tokens, F.expr("0L"), lambda s, t: s.bitwiseXOR(_bit(t))))
+    j = "cast(if(n < 48, greatest(2, ceil(log2((n + 0.5D) / 3))), greatest(5, ceil(log2((n + 0.5D) / 4)))) as int)"
+    sets = sets.withColumn("j0", F.expr(j)).withColumn("j1", F.expr("j0 + 1"))
+    sets = sets.withColumn("most", F.expr("shiftleft(if(j0 < 5, 3L, 4L), j0) - 1")).withColumn("other", F.expr("5 * n div 4"))
+    sets = sets.withColumn("h0", F.expr("cast((n + least(other, most)) div 9 as int)"))
+    sets = sets.withColumn("h1", F.expr("cast(if(other > most, (n + other) div 9, 0) as int)"))
+    for i in (0, 1):
+        sets = sets.withColumn(f"parts{i}", F.expr(f"if(h{i} = 0, cast(array() as array<bigint>), transform(tokens, t -> shiftright(t, 64 - j{i})))"))
+        looked_up = f"transform(array_distinct(parts{i}), p -> cast(array_position(parts{i}, p) as int))"
+        scanned = f"filter(sequence(1, n), k -> k = 1 or get(parts{i}, k - 1) != get(parts{i}, k - 2))"
+        sets = sets.withColumn(f"at{i}", F.expr(f"case when h{i} = 0 then cast(array() as array<int>) when n <= {LOOKED_UP} then {looked_up} else {scanned} end"))
+        words = f"transform(at{i}, (s, k) -> slice(tokens, s, coalesce(get(at{i}, k + 1), n + 1) - s))"
+        letters = "least(aggregate(w, 0L, (s, t) -> s + (t & 15L)), 63L)"
+        keys = f"transform({words}, w -> shiftleft({letters}, 57) | shiftrightunsigned(xxhash64(j{i}, w), 7))"
+        every = f"concat({keys}, array(shiftrightunsigned(xxhash64(j{i}), 7)))"
+        sets = sets.withColumn(f"keys{i}", F.expr(f"slice(sort_array({every}, false), 1, if(h{i} = 0, 0, h{i} + 1))"))
+    return sets.withColumn("keys", F.concat("keys0", "keys1"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -105,26 +97,11 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_hash").alias("c"), F.col("line_no").alias("d"))
 
 
-# Conditions on two prefix words, a and b. The first word that two lines share has all their common words
-# from its place on, in both lines.
-_MAY_MATCH = """
-  5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
-  and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n)
-  and 9 * bit_count(a.sig ^ b.sig) <= a.n + b.n"""
-_ONCE = "not (a.done and b.done) and (a.n < b.n or (a.n = b.n and a.lid < b.lid))"
-
-
-def _pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``pairs`` without those whose wide signatures differ in more places than the sets of similar lines can."""
-    wide = reps.where("wide is not null").select("lid", "n", "wide")
-    other = wide.select(*[F.col(c).alias(f"o_{c}") for c in wide.columns])
-    both = pairs.join(wide, "lid", "left").join(other, "o_lid", "left")
-    longs = F.least(F.size("wide"), F.size("o_wide"))
-    # sizes of a pair are near each other, so one signature has at most twice the longs of the other
-    fold = lambda w: F.when(F.size(w) > longs, F.zip_with(F.slice(w, 1, longs), F.slice(w, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(w))
-    differ = F.aggregate(F.zip_with(fold("wide"), fold("o_wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    kept = F.col("wide").isNull() | F.col("o_wide").isNull() | (9 * differ <= F.col("n") + F.col("o_n"))
-    return both.where(kept).select("lid", "o_lid")
+# Conditions on two lines of a group, a and b.
+_SIGNATURE = ["sig0", "sig1"]
+_DIFFER = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in _SIGNATURE)
+_MAY_MATCH = f"5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * ({_DIFFER}) <= a.n + b.n"
+_ONCE = "not (a.done and b.done) and a.lid < b.lid"
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -145,32 +122,28 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return similar.select(F.when(F.col("ord") > F.col("o_ord"), F.col("lid")).otherwise(F.col("o_lid")).alias("lid")).distinct()
 
 
-def _placed(reps: DataFrame) -> DataFrame:
-    """One row per prefix word; few and narrow columns, as this is the largest exchange: size, place and done share one."""
-    words = reps.select("lid", "n", "sig", "done", F.posexplode_outer("prefix").alias("i", "key"))
-    packed = "shiftleft(cast(n as bigint), 32) | shiftleft(cast(i as bigint), 1) | if(done, 1L, 0L)"
-    return words.select("key", "lid", F.expr(packed).alias("size_at"), "sig")
-
-
-_UNPACKED = {"n": "cast({}.size_at >> 32 as int)", "i": "cast(({}.size_at & 4294967295) >> 1 as int)", "done": "(({}.size_at & 1) = 1)"}
+def _grouped(reps: DataFrame) -> DataFrame:
+    """(lid, key, n_lines, n, sig0, sig1): the lines that share a key with another; most keys are those of one line."""
+    # both sides read the same exchange, as both need lid, and neither is filtered more than the other
+    placed = reps.where("lid is not null").select("lid", F.explode("keys").alias("key")).repartition("key")
+    shared = placed.groupBy("key").agg(F.min("lid").alias("first"), F.max("lid").alias("last"), F.count("*").alias("n_lines")).where("first != last")
+    found = placed.join(shared.select("key", "n_lines").hint("shuffle_hash"), "key")
+    return found.join(reps.select("lid", "n", *_SIGNATURE), "lid")
 
 
 def _meet(a: DataFrame, b: DataFrame, condition: str) -> DataFrame:
     """(lid, o_lid) of rows of one key that fulfil ``condition`` and may match; a side is not renamed, so equal sides are one exchange."""
-    unpacked = re.sub(r"\b([ab])\.(n|i|done)\b", lambda m: _UNPACKED[m[2]].format(m[1]), f"a.key = b.key and ({condition}) and {_MAY_MATCH}")
-    return a.alias("a").join(b.alias("b"), F.expr(unpacked)).select(F.col("a.lid").alias("lid"), F.col("b.lid").alias("o_lid"))
+    met = a.alias("a").join(b.alias("b"), F.expr(f"a.key = b.key and ({condition}) and {_MAY_MATCH}"))
+    return met.select(F.col("a.lid").alias("lid"), F.col("b.lid").alias("o_lid"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, lines): numbers of the lines of each row that match an earlier line."""
     rows = _rows(docs)
-    rarity = _rarity(pick(docs, "doc_id", "text"))
-    tokens = _lines(rows).select("doc_id", "row_hash", "line_no", _token_set(F.col("line"), rarity).alias("tokens"))
-    signed = tokens.withColumn("wide", _wide_signature(F.col("tokens")))
-    profile = signed.select(
-        "doc_id", "row_hash", "line_no", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), "tokens").alias("s2"),
-        _signature(F.col("tokens"), F.col("wide")).alias("sig"), "wide", F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)").alias("prefix"),
-    )
+    tokens = _lines(rows).select("doc_id", "row_hash", "line_no", _token_set(F.col("line")).alias("tokens"))
+    profile = _with_keys(_signed(tokens.withColumn("n", F.size("tokens")))).select(
+        "doc_id", "row_hash", "line_no", "n", F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit(1), "tokens").alias("s2"), *_SIGNATURE, "keys"
+    )
     # lines without words are left out on reading: a condition before that would make every set twice
     written = materialize(profile, "lines")
     profile = written.where("n > 0")
@@ -180,31 +153,30 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     equal = some.groupBy("n", "s1", "s2").agg(F.min(_order()).alias("first"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines")
     equal = broadcast_if_small(materialize(equal, "equal"), MOST_SENT)
     marked = profile.join(equal, ["n", "s1", "s2"], "left").withColumn("again", F.coalesce(_order() > F.col("first"), F.lit(False)))
-    # lines that come again need no prefix, and those that stay no hashes: each is written once
-    split = marked.withColumns({**{c: F.when(~F.col("again"), F.col(c)) for c in ("prefix", "wide")}, "lid": F.monotonically_increasing_id()}).drop("first", "s1", "s2")
+    # lines that come again need no keys, and those that stay no hashes: each is written once
+    split = marked.withColumns({"keys": F.when(~F.col("again"), F.col("keys")), "lid": F.monotonically_increasing_id()}).drop("first", "s1", "s2")
     split = materialize(split, "split")
     discard(written)
     copies = split.where("again").select("doc_id", "row_hash", "line_no")
-    reps = split.where("not again").drop("again").withColumn("done", F.lit(False))
+    reps = split.where("not again").drop("again")
 
-    placed = _placed(reps)
-    sampled = placed.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLED)) == 0)
-    large = sampled.groupBy("key").agg(F.min("lid").alias("head"), F.count("*").alias("n_lines")).where(f"n_lines * {SAMPLED} > {SMALL_GROUP}")
-    large = broadcast_if_small(materialize(large.drop("n_lines"), "large"), MOST_SENT)
-    in_large = placed.join(large, "key")
-    star = _meet(in_large.drop("head"), in_large.where("lid = head").drop("head"), "a.lid != b.lid").distinct()
-    done = materialize(_verified(materialize(_pruned(star, reps), "star"), reps, rows), "done")
+    grouped = materialize(_grouped(reps), "grouped")
+    in_large = grouped.where(f"n_lines > {SMALL_GROUP}")
+    # the earliest line of a group decides all that are similar to it
+    heads = in_large.join(reps.select("lid", _order().alias("ord")), "lid").groupBy("key").agg(F.min_by("lid", "ord").alias("lid"))
+    star = _meet(in_large, in_large.join(heads, ["key", "lid"], "left_semi"), "a.lid != b.lid").distinct()
+    done = materialize(_verified(materialize(star, "star"), reps, rows), "done")
 
     known = broadcast_if_small(done.withColumn("is_done", F.lit(True)), MOST_SENT)
-    placed = _placed(reps.join(known, "lid", "left").withColumn("done", F.coalesce("is_done", F.lit(False))))
+    grouped = grouped.join(known, "lid", "left").withColumn("done", F.coalesce("is_done", F.lit(False))).drop("is_done")
     # in small groups the conditions name both sides, so both sides of the join are one exchange
-    small = placed.join(large, "key", "left_anti")
+    small = grouped.where(f"n_lines <= {SMALL_GROUP}")
     met = _meet(small, small, _ONCE)
     # in large ones those that are done meet only those that aren't
-    in_large = placed.join(large.select("key"), "key")
-    met = met.unionByName(_meet(in_large.where("size_at & 1 = 0"), in_large, "a.lid < b.lid or (b.done and a.lid != b.lid)"))
+    in_large = grouped.where(f"n_lines > {SMALL_GROUP}")
+    met = met.unionByName(_meet(in_large.where("not done"), in_large, "a.lid < b.lid or (b.done and a.lid != b.lid)"))
     met = met.select(F.least("lid", "o_lid").alias("lid"), F.greatest("lid", "o_lid").alias("o_lid")).distinct()
-    rest = materialize(_pruned(met, reps), "rest")
+    rest = materialize(met, "rest")
     matched = done.unionByName(_verified(rest, reps, rows)).distinct()
     similar = reps.join(matched, "lid", "left_semi").select("doc_id", "row_hash", "line_no")
     gone = copies.unionByName(similar).groupBy("doc_id", "row_hash").agg(F.collect_set("line_no").alias("lines"))

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from assaykit.llm import line_dedup
 from assaykit.llm.line_dedup import dedup_lines, with_lines_removed
 from assaykit.llm.queries import QUERIES
 
@@ -79,3 +81,52 @@ def test_small_table_and_plan(spark, small):
     out = QUERIES["op5_line_dedup"](spark, small)
     assert sorted([tuple(r) for r in out.collect()], key=repr) == brute(rows)
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def pairs_met(spark, monkeypatch, rows):
+    """Pairs of lines that were compared in full."""
+    counts, write = [], line_dedup.materialize
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        if name in ("star", "rest"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    assert result(spark, rows) == brute(rows)
+    return sum(counts)
+
+
+def test_group_met_out_of_document_order(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(base[:57] + [f"own{d}"])) for d in reversed(range(300))]
+    assert pairs_met(spark, monkeypatch, rows) < 5 * len(rows)
+
+
+def test_lines_of_common_words_do_not_meet(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(600)]
+    rows = [(d, " ".join(rng.sample(words, 90))) for d in range(600)]
+    assert pairs_met(spark, monkeypatch, rows) < 60
+
+
+def test_similar_lines_share_a_key(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in [*range(4, 60), 71, 95, 127, 128, 143, 255, 300, 301, 330, 512]:
+        for _ in range(6):
+            m = rng.randint(n, 5 * n // 4)
+            common = -(-4 * (n + m) // 9)  # as few as similar lines can share
+            if common < n or common < m:
+                words = [f"{rng.choice('ab') * rng.randint(1, 9)}{x}" for x in rng.sample(range(10**6), n + m - common)]
+                rows.append((" ".join(words[:n]), " ".join(words[n - common :])))
+
+    def keys(at):
+        tokens = pairs.select("i", line_dedup._token_set(F.col(at)).alias("tokens"))
+        return line_dedup._with_keys(tokens.withColumn("n", F.size("tokens"))).select("i", "n", F.col("keys").alias(at))
+
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
+    found = keys("a").join(keys("b").drop("n"), "i").select("n", F.arrays_overlap("a", "b").alias("met"), F.size("a").alias("k")).collect()
+    assert len(found) == len(rows) and all(r.met for r in found)
+    assert all(r.k <= 2 * (r.n // 4 + 1) for r in found)
